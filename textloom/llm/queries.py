@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, sharding, token_files, toxicity
+from . import bpe, exact_dedup, html_text, langid, sharding, token_files, toxicity
 from .common import remainder, table
 
 
@@ -66,6 +66,12 @@ def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.fit(html_text.labelled_pages()))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weak_toxicity": op6_weak_toxicity,
     "op7_crf_language": op7_crf_language,
     "op8_token_files": op8_token_files,
+    "op10_crf_main_text": op10_crf_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
