@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, langid, sharding, token_files, toxicity
+from . import bpe, decontam, exact_dedup, html_text, langid, sharding, token_files, toxicity
 from .common import remainder, table
 
 
@@ -30,6 +30,11 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digest(decontam.find(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = sharding.shard_rows(docs, sharding.tree(24), sharding.tree(25))
@@ -74,6 +79,7 @@ def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_fm_decontamination": op3_fm_decontamination,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_weak_toxicity": op6_weak_toxicity,
