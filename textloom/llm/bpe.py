@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Generations, text_slices
+from .common import TextEncoder, strings, text_slices
 
 #: Pieces that a worker remembers, in each of two generations.
 CACHE_PIECES = 300_000
@@ -204,26 +204,25 @@ class PrefixTable:
         return out[::-1]
 
 
-class PieceCache(Generations):
-    """Piece of text to the little-endian 32-bit ids that encode it."""
+class Encoder(TextEncoder):
+    """The encoder of a worker: prefix tables behind bounded memos."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = CACHE_PIECES):
-        super().__init__(most)
-        self.vocabulary = vocabulary
+    def __init__(self, path: str, pattern: str):
+        self.vocabulary = Vocabulary.from_file(path)
+        super().__init__(regex.compile(pattern), self._encode_pieces, CACHE_PIECES)
 
-    def make(self, piece: str) -> bytes:
-        return np.asarray(self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass")), dtype="<i4").tobytes()
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        encode = self.vocabulary.encode_piece
+        return [np.asarray(encode(p.encode("utf-8", "surrogatepass")), dtype="<i4").tobytes() for p in pieces]
 
 
 @lru_cache(maxsize=2)
-def _tools(path: str, pattern: str):
-    vocabulary = Vocabulary.from_file(path)
-    return vocabulary, regex.compile(pattern), PieceCache(vocabulary)
+def _tools(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
-    _, cut, cache = _tools(path, pattern)
-    return np.frombuffer(b"".join(map(cache.__getitem__, cut.findall(text))), dtype="<i4")
+    return np.frombuffer(_tools(path, pattern).encode([text])[0], dtype="<i4")
 
 
 def encode(
@@ -239,13 +238,12 @@ def encode(
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cut, cache = _tools(path, pattern)
+        encoder = _tools(path, pattern)
+        vocabulary = encoder.vocabulary
         item = pa.field("element", pa.int32(), False)
         for whole in batches:
             for batch in text_slices(whole, at):
-                found = []
-                for text in batch.column(at).to_pylist():
-                    found.append(b"".join(map(cache.__getitem__, cut.findall(text))) if text else b"")
+                found = encoder.encode(strings(batch.column(at)))
                 offsets = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 flat = np.frombuffer(b"".join(found), dtype="<i4")
@@ -266,7 +264,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", decoded_col: str =
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _tools(path, pattern)[0]
+        vocabulary = _tools(path, pattern).vocabulary
         for batch in batches:
             back = [vocabulary.decode(x or ()) for x in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*names, decoded_col])

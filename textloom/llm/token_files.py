@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Generations, checkpoint_root, text_slices
+from .common import TextEncoder, checkpoint_root, text_slices
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -43,13 +43,24 @@ CACHE_PIECES = 300_000
 
 
 @lru_cache(maxsize=2)
-def _tools(path: str, pattern: str):
+def _tools(path: str, pattern: str) -> TextEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer, regex.compile(pattern), Generations(CACHE_PIECES)
+
+    def encode_pieces(pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 50_000):
+            part = pieces[at : at + 50_000]
+            encoded = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.asarray(encoded.ids, dtype="<i4").tobytes()
+            ends = (np.cumsum(np.bincount(np.asarray(encoded.word_ids, dtype=np.int64), minlength=len(part))) * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    return TextEncoder(regex.compile(pattern), encode_pieces, CACHE_PIECES)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
@@ -58,30 +69,7 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     The tokenizer cuts texts by ``pattern`` and encodes each piece alone, so it
     is given every piece that this worker doesn't remember, once.
     """
-    tokenizer, cut, known = _tools(path, pattern)
-    pieces = [cut.findall(x) for x in texts]
-    fresh = list({p for own in pieces for p in own if p not in known})
-    local: dict[str, bytes] = {}
-    ask = []
-    for p in fresh:
-        if (found := known.old.get(p)) is not None:
-            local[p] = found
-        else:
-            ask.append(p)
-    for at in range(0, len(ask), 50_000):
-        part = ask[at : at + 50_000]
-        encoded = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(encoded.ids, dtype="<i4")
-        ends = np.cumsum(np.bincount(np.asarray(encoded.word_ids, dtype=np.int64), minlength=len(part))) * 4
-        raw, start = ids.tobytes(), 0
-        for p, end in zip(part, ends.tolist(), strict=True):
-            local[p] = raw[start:end]
-            start = end
-    get, get_local = known.get, local.get
-    out = [b"".join([get(p) or get_local(p, b"") for p in own]) for own in pieces]
-    short = [p for p in local if len(p) <= known.longest]
-    known.learn(short, [local[p] for p in short])
-    return out
+    return _tools(path, pattern).encode(texts)
 
 
 def write(
