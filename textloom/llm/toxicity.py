@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,6 +43,7 @@ from .langid import sample
 
 FIT_ROWS = 3000
 MOST_VOTERS = 400
+BITS = 22
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6, 7, 8)
 #: A beginning counts as dense if it begins one of this many different words.
@@ -88,25 +90,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def mine(held: list[set[str]], labels: np.ndarray, most: int = MOST_VOTERS) -> list[str]:
-    """Entries by how surely they tell toxic texts, strongest first; of entries on the same toxic texts one."""
-    toxic, clean, where = Counter(), Counter(), {}
-    for i, (own, y) in enumerate(zip(held, labels, strict=True)):
+def mine(texts: list[str], labels: np.ndarray, most: int = MOST_VOTERS) -> list[str]:
+    """Entries by how surely they tell toxic texts, strongest first; of entries on the same toxic texts one.
+
+    Buckets of a hash first bound how many toxic texts hold an entry, so that only
+    entries that may pass are counted by name.
+    """
+    toxic_words = clean_words = 0
+    bound = np.zeros(1 << BITS, dtype=np.int32)
+    for text, y in zip(texts, labels, strict=True):
+        words = words_of(text)
         if y:
-            toxic.update(own)
-            mark = hash((i, "toxic text"))
-            for e in own:
-                where[e] = where.get(e, 0) ^ mark
+            toxic_words += len(words)
+            marks = np.fromiter((zlib.crc32(e.encode("utf-8", "surrogatepass")) for e in entries_of(words)), dtype=np.int64)
+            np.add.at(bound, np.unique(marks & ((1 << BITS) - 1)), 1)
         else:
-            clean.update(own)
-    # The share of all entries that toxic texts hold is what an entry that tells nothing would have.
-    base = sum(toxic.values()) / max(1, sum(toxic.values()) + sum(clean.values()))
-    base = min(max(base, 1e-6), 1 - 1e-6)
-    least = math.log(max(1, len(toxic))) + 5
+            clean_words += len(words)
+    # The share of all words that toxic texts hold is what an entry that tells nothing would have.
+    base = min(max(toxic_words / max(1, toxic_words + clean_words), 1e-6), 1 - 1e-6)
+    least = math.log(max(1, int((bound > 0).sum()))) + 5
+    enough = max(3, math.ceil(least / -math.log(base)))
+    toxic, clean, where = Counter(), Counter(), {}
+    for i, (text, y) in enumerate(zip(texts, labels, strict=True)):
+        if y:
+            mark = zlib.crc32(b"%d" % i) << 32 | zlib.crc32(b"text %d" % i)
+            for e in entries_of(words_of(text)):
+                if bound[zlib.crc32(e.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)] >= enough:
+                    toxic[e] += 1
+                    where[e] = where.get(e, 0) ^ mark
+    toxic = {e: n for e, n in toxic.items() if n >= enough}
+    known = {e.split("*")[0] for e in toxic}
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            clean.update(e for e in entries_of(words_of(text), known) if e in toxic)
     ranked = []
     for entry, hits in toxic.items():
-        if hits < 3:
-            continue
         misses = clean[entry]
         share = (hits + 0.5) / (hits + misses + 1)
         sure = hits * math.log(share / base) + misses * math.log((1 - share) / (1 - base))
@@ -123,18 +141,19 @@ def mine(held: list[set[str]], labels: np.ndarray, most: int = MOST_VOTERS) -> l
     return out
 
 
-def votes(held: list[set[str]], texts: list[str], entries: list[str]) -> np.ndarray:
+def votes(texts: list[str], entries: list[str]) -> np.ndarray:
     """Firings: a column for each entry, then the pattern voters."""
     index = {e: i for i, e in enumerate(entries)}
-    out = np.zeros((len(held), len(entries) + 4), dtype=np.float64)
+    known = {e.split("*")[0] for e in entries}
+    out = np.zeros((len(texts), len(entries) + 4), dtype=np.float64)
     k = len(entries)
-    for i, (own, text) in enumerate(zip(held, texts, strict=True)):
-        hits = [index[e] for e in own if e in index]
+    for i, text in enumerate(texts):
+        hits = [index[e] for e in entries_of(words_of(text), known) if e in index]
         out[i, hits] = 1
         out[i, k] = len(hits) >= 2
         out[i, k + 1] = len(hits) >= 4
         out[i, k + 2] = "!!" in text
-        out[i, k + 3] = sum(c.isupper() for c in text) > 0.5 * max(1, sum(c.isalpha() for c in text))
+        out[i, k + 3] = sum(map(str.isupper, text)) > 0.5 * max(1, sum(map(str.isalpha, text)))
     return out
 
 
@@ -172,9 +191,8 @@ def fit_local(texts: list[str], labels: list[int], steps: int = 400) -> Model:
     share = (y.sum() + 0.5) / (len(y) + 1)
     if not y.sum() or y.sum() == len(y):
         return Model(bias=math.log(share / (1 - share)))
-    held = [entries_of(words_of(x)) for x in texts]
-    entries = mine(held, y)
-    fired = votes(held, texts, entries)
+    entries = mine(texts, y)
+    fired = votes(texts, entries)
     post, rates, divisor = label_model(fired, y, np.ones(len(y), bool))
     x = fired[:, : len(entries)]
     # Logistic regression on the posteriors, by gradient descent with momentum.
