@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html_text, langid, sharding, token_files, toxicity
+from . import bpe, decontam, exact_dedup, html_text, jaccard_join, langid, sharding, token_files, toxicity
 from .common import remainder, table
 
 
@@ -71,6 +71,10 @@ def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_pivot_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_text.extract(pages, html_text.fit(html_text.labelled_pages()))
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weak_toxicity": op6_weak_toxicity,
     "op7_crf_language": op7_crf_language,
     "op8_token_files": op8_token_files,
+    "op9_pivot_jaccard": op9_pivot_jaccard,
     "op10_crf_main_text": op10_crf_main_text,
 }
 
