@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html_text, jaccard_join, langid, sharding, token_files, toxicity
+from . import bpe, decontam, exact_dedup, html_text, jaccard_join, langid, maxent_lm, sharding, token_files, toxicity
 from .common import remainder, table
 
 
@@ -17,6 +17,14 @@ def _tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = maxent_lm.score(docs, docs.filter(remainder("doc_id", 10) != 0))
+    return scored.withColumn("held_out", remainder("doc_id", 10) == 0).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = exact_dedup.exact_dedup(docs, keep="max")
@@ -82,6 +90,7 @@ def op10_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_fm_decontamination": op3_fm_decontamination,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
