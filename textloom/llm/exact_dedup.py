@@ -102,8 +102,25 @@ def exact_dedup(
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The documents that stay, one per distinct text, with the columns of ``docs``."""
-    marked = exact_dedup(docs, id_col, text_col, keep).filter("kept")
-    # Only rows that repeat an id as well as a text can still double; ids are spread evenly over tasks.
-    nth = F.row_number().over(W.partitionBy("text_sha256", id_col).orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
-    return marked.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    """The documents that stay, one per distinct text, with the columns of ``docs``.
+
+    The join is on id and hashes together, so a hot text spreads over all tasks by
+    its ids.  Hashes stand for texts here once it is known that no two texts share both.
+    """
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    hashes = [F.md5(text).alias("_h128"), F.sha2(text, 256).alias("_sha")]
+    slim = cut(groups(docs, id_col, text_col, keep).select("_h128", "_sha", F.col("_keep").alias("_id")))
+    if slim.groupBy("_h128", "_sha").count().filter("count > 1").limit(1).count():
+        # Two texts share both hashes: the slower way, which joins these on the text.
+        stay = exact_dedup(docs, id_col, text_col, keep).filter("kept").drop("keep_id", "group_size", "kept")
+        stay = stay.withColumnRenamed("text_sha256", "_sha")
+        repeats = stay.groupBy(id_col, text_col).count().filter("count > 1").limit(1).count()
+    else:
+        rows = docs.select(*docs.columns, *hashes)
+        same = (rows["_h128"] == slim["_h128"]) & (rows["_sha"] == slim["_sha"]) & rows[id_col].eqNullSafe(slim["_id"])
+        stay = rows.join(slim, same, "left_semi")
+        repeats = docs.select(id_col, *hashes).groupBy(id_col, "_h128", "_sha").count().filter("count > 1").limit(1).count()
+    if repeats:  # rows that repeat id and text: any one of them stays
+        nth = F.row_number().over(W.partitionBy(id_col, "_sha", text_col).orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)]))
+        stay = stay.withColumn("_nth", nth).filter("_nth = 1")
+    return stay.select(*docs.columns)
