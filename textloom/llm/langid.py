@@ -1,8 +1,7 @@
 """Language of the words of a text, and of the text, by a linear-chain CRF.
 
 Words are maximal runs of letters.  A word's features are its lower-case form, its
-prefixes and suffixes of up to three and four characters, its character bigrams
-and trigrams, whether it is in the lexicon (a word that the training sample has
+prefixes and suffixes of up to four bytes, its n-grams of two to five bytes, whether it is in the lexicon (a word that the training sample has
 often, with the language it is most often in), and its letter case; they are hashed
 into one table of weights per language.  Transition weights between the languages
 of adjacent words are learned with them, by gradient ascent on the likelihood of
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import mix64, text_slices
 
 BITS = 18
 FIT_DOCS = 600
@@ -49,18 +48,36 @@ def words_of(text: str) -> list[str]:
     return found
 
 
-def word_features(word: str, lexicon: dict[str, int], mask: int = (1 << BITS) - 1) -> list[int]:
-    low = word.lower()
-    crc = zlib.crc32
-    raw = low.encode("utf-8", "surrogatepass")
-    marked = f"^{low}$"
-    out = [crc(b"w" + raw)]
-    out += [crc(b"p" + low[:k].encode("utf-8", "surrogatepass")) for k in range(1, min(4, len(low) + 1))]
-    out += [crc(b"s" + low[-k:].encode("utf-8", "surrogatepass")) for k in range(1, min(5, len(low) + 1))]
-    out += [crc(b"g" + marked[i : i + k].encode("utf-8", "surrogatepass")) for k in (2, 3) for i in range(min(len(marked), 40) - k + 1)]
-    out.append(crc(b"l%d" % lexicon.get(low, -1)))
-    out.append(crc(b"c%d" % ((word[0] != low[0]) + 2 * (len(word) > 1 and word.isupper()))))
-    return [x & mask for x in out]
+def feature_rows(types: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of the features of distinct words, and the word that each belongs to.
+
+    Words are marked at both ends, so their n-grams of two to five bytes hold their
+    prefixes and suffixes.
+    """
+    mask = np.uint64((1 << BITS) - 1)
+    low = [w.lower() for w in types]
+    raw = [w.encode("utf-8", "surrogatepass") for w in low]
+    text = np.frombuffer(b"".join([b"\x02%b\x03" % w for w in raw]), dtype=np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(types)), [len(w) + 2 for w in raw])
+    rows, owners = [], []
+    code = text
+    for k in range(2, 6):
+        code = code[:-1] | text[k - 1 :] << np.uint64(8 * (k - 1))
+        inside = owner[: len(code)] == owner[k - 1 :]
+        rows.append(mix64(code[inside] << np.uint64(3) | np.uint64(k)) & mask)
+        owners.append(owner[: len(code)][inside])
+    every = np.arange(len(types))
+    whole = np.fromiter(map(zlib.crc32, raw), dtype=np.uint64, count=len(types))
+    case = np.fromiter(((w[0] != x[0]) + 2 * (len(w) > 1 and w.isupper()) for w, x in zip(types, low, strict=True)), dtype=np.uint64, count=len(types))
+    known = np.fromiter((lexicon.get(x, -1) + 1 for x in low), dtype=np.uint64, count=len(types))
+    for kind, value in ((1, whole), (6, case), (7, known)):
+        rows.append(mix64(value << np.uint64(3) | np.uint64(kind)) & mask)
+        owners.append(every)
+    return np.concatenate(rows).astype(np.int64), np.concatenate(owners)
+
+
+def _sums(values: np.ndarray, owners: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(owners, values[:, k], minlength=size) for k in range(values.shape[1])], axis=1)
 
 
 @dataclass
@@ -74,11 +91,9 @@ class Model:
     def emissions(self, types: list[str]) -> np.ndarray:
         out = np.empty((len(types), len(self.languages)), dtype=np.float32)
         for at in range(0, len(types), 20_000):
-            rows = [word_features(w, self.lexicon) for w in types[at : at + 20_000]]
-            offsets = np.zeros(len(rows), dtype=np.int64)
-            np.cumsum([len(r) for r in rows[:-1]], out=offsets[1:])
-            flat = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=sum(map(len, rows)))
-            out[at : at + len(rows)] = np.add.reduceat(self.weights[flat], offsets, axis=0)
+            part = types[at : at + 20_000]
+            rows, owners = feature_rows(part, self.lexicon)
+            out[at : at + len(part)] = _sums(self.weights[rows], owners, len(part))
         return out
 
 
@@ -140,18 +155,14 @@ def fit_local(rows: list[tuple[str, str]], epochs: int = 3, window: int = 24, se
             ids = np.array([types.setdefault(w, len(types)) for words, _ in own for w in words])
             lengths = np.array([len(words) for words, _ in own])
             gold = np.repeat([y for _, y in own], lengths)
-            features = [word_features(w, lexicon) for w in types]
-            sizes = [len(f) for f in features]
-            flat = np.fromiter((x for f in features for x in f), dtype=np.int64, count=sum(sizes))
-            offsets = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
-            emit = np.add.reduceat(model.weights[flat], offsets, axis=0)[ids]
+            flat, owners = feature_rows(list(types), lexicon)
+            emit = _sums(model.weights[flat], owners, len(types))[ids]
             post, forward, backward, local = marginals(emit, lengths, model.transitions, model.start)
             wrong = -post
             wrong[np.arange(len(ids)), gold] += 1
-            by_type = np.stack([np.bincount(ids, wrong[:, k], minlength=len(types)) for k in range(n)], axis=1)
+            by_type = _sums(wrong, ids, len(types))
             used, place = np.unique(flat, return_inverse=True)
-            spread = np.repeat(by_type, sizes, axis=0)
-            gradient = np.stack([np.bincount(place, spread[:, k], minlength=len(used)) for k in range(n)], axis=1) / len(own)
+            gradient = _sums(by_type[owners], place, len(used)) / len(own)
             gradient -= 1e-5 * model.weights[used]
             squares[used] += gradient**2
             model.weights[used] += (0.1 * gradient / np.sqrt(squares[used])).astype(np.float32)
@@ -215,7 +226,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, at, 4 << 20):
+            for batch in text_slices(whole, at):
                 found, post, lengths = label_texts(["" if x is None else x for x in batch.column(at).to_pylist()], model)
                 ends = np.cumsum(lengths)
                 labels, scores, pairs = [], [], []
