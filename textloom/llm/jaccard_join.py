@@ -14,9 +14,10 @@ so windows around document pivots hold everything (README has figures).  Therefo
 * what a region then holds of different components is joined by triangle-inequality
   windows: the distances of two near sets to a common point differ by no more than
   theirs.  The points are the empty set (sizes), the ``PARTS`` parts of the shingle
-  space (counts, in the metric of symmetric differences), and the region's pivot
-  itself (positions in the ranking).  Regions of many members are dealt to blocks,
-  and blocks join two by two;
+  space (counts, in the metric of symmetric differences).  Regions of many members
+  are dealt to blocks, and blocks join two by two;
+* two near sets share so many of their first pivots that what lies beyond these can
+  make up the rest; pairs that met in fewer regions go;
 * the pairs that remain are decided by intersecting the whole sets.
 
 Ranking uses a sketch of shingle frequencies over all documents (a fixed number of
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint_root, cut, mix64, text_slices
@@ -87,7 +88,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for whole in batches:
-            for batch in text_slices(whole, 0):
+            for batch in text_slices(whole, 0, 4 << 20):
                 sets = shingle_sets(batch.column(0).to_pylist(), width)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 total += np.bincount((flat >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
@@ -128,7 +129,7 @@ def _decide(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, 4 << 20):
                 own = [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "set"])
 
@@ -171,7 +172,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _windows(cells: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, vec: np.ndarray, side: np.ndarray, num: int, den: int):
+def _needed(n, m, num: int, den: int):
+    """How many of their first pivots two near sets of these sizes must share, at least 1; numbers, arrays or columns."""
+    most = F.greatest if isinstance(n, Column) else np.maximum
+    beyond = lambda x: (x * num + den - 1) // den - 1 if not isinstance(x, Column) else F.floor((x * num + den - 1) / den) - 1
+    over = (n + m) * num
+    overlap = -(-over // (num + den)) if not isinstance(n, Column) else F.ceil(over / (num + den))
+    one = F.lit(1) if isinstance(n, Column) else 1
+    return most(one, overlap - most(beyond(n), beyond(m)))
+
+
+def _windows(cells: np.ndarray, n: np.ndarray, comp: np.ndarray, vec: np.ndarray, side: np.ndarray, num: int, den: int):
     """Index pairs within runs of equal ``cells`` that pass every window; ``side`` -1 meets all, 0 meets only 1."""
     starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(cells)]]))
@@ -181,19 +192,18 @@ def _windows(cells: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray
     bounds = np.concatenate([[0], np.cumsum(later)])
     at = 0
     while at < len(cells):
-        to = int(np.searchsorted(bounds, bounds[at] + 2_000_000, side="right")) - 1
+        to = int(np.searchsorted(bounds, bounds[at] + 1_000_000, side="right")) - 1
         to = min(max(to, at + 1), len(cells))
         i = np.repeat(np.arange(at, to), later[at:to])
         j = np.arange(len(i)) - np.repeat(bounds[at:to] - bounds[at], later[at:to]) + i + 1
         total = n[i] + n[j]
         ok = (comp[i] != comp[j]) & ((den - num) * total >= (den + num) * np.abs(n[i] - n[j]))
-        ok &= (den + num) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= num * total
         ok &= (side[i] < 0) | (side[i] != side[j])
         i, j, total = i[ok], j[ok], total[ok]
-        for k in range(0, len(i), 200_000):
-            a, b = i[k : k + 200_000], j[k : k + 200_000]
+        for k in range(0, len(i), 100_000):
+            a, b = i[k : k + 100_000], j[k : k + 100_000]
             apart = np.abs(vec[a] - vec[b]).sum(axis=1)
-            ok = (den - num) * total[k : k + 200_000] >= (den + num) * apart
+            ok = (den - num) * total[k : k + 100_000] >= (den + num) * apart
             out_i.append(a[ok])
             out_j.append(b[ok])
         at = to
@@ -211,7 +221,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, 4 << 20):
                 sizes, keys, spreads, prefixes = [], [], [], []
                 for s in shingle_sets(batch.column(1).to_pylist(), width):
                     first = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
@@ -258,7 +268,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
     other = thin.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("vec").alias("y"))
+    # Pairs with little in common are left to the join of the regions.
     spokes = stars.join(thin, "id").join(other, "pivot").filter(F.lit(den - num) * (F.col("n") + F.col("m")) >= F.lit(den + num) * F.abs(F.col("n") - F.col("m")))
+    spokes = spokes.filter(F.col("shared") >= _needed(F.col("n"), F.col("m"), num, den))
     spokes = cut(spokes.select("id", "pivot", "n", "m", "vec", "y").mapInArrow(close, f"a {kind}, b {kind}"))
     links = _decide(spokes, source, width, num, den)
     labels = components(links)
@@ -270,7 +282,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         mixed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("members")).filter("lo <> hi").select("cell", "members")
     )
     n_open = open_regions.count()
-    rows = _pick(tagged.select("id", "n", "vec", "comp", F.posexplode("prefix").alias("pos", "cell")), open_regions, "cell", n_open)
+    rows = _pick(tagged.select("id", "n", "vec", "comp", F.explode("prefix").alias("cell")), open_regions, "cell", n_open)
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -279,7 +291,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.least("own", "with").alias("one"),
         F.greatest("own", "with").alias("two"),
         F.when(F.col("own") == F.col("with"), F.lit(-1)).when(F.col("own") < F.col("with"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
-        "id", "n", "pos", "comp", "vec",
+        "id", "n", "comp", "vec",
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +302,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             key = mix64(col("cell").view(np.uint64)) + mix64((col("one").astype(np.int64) << 32 | col("two")).view(np.uint64) + np.uint64(1))
             vec = np.frombuffer(b"".join(table["vec"].to_pylist()), "<i4").reshape(-1, PARTS)
             n = col("n").astype(np.int64)
-            i, j = _windows(key, n, col("pos").astype(np.int64), col("comp"), vec, col("side"), num, den)
+            i, j = _windows(key, n, col("comp"), vec, col("side"), num, den)
             a, b = col("id")[i], col("id")[j]
-            pairs = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], table["id"].type), pa.array([y for _, y in pairs], table["id"].type)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b), table["id"].type), pa.array(np.maximum(a, b), table["id"].type), pa.array(_needed(n[i], n[j], num, den), pa.int64())], names=["a", "b", "needed"]
+            )
 
         def runs(table: pa.Table) -> np.ndarray:
             return np.flatnonzero((np.diff(table["cell"].to_numpy()) != 0) | (np.diff(table["one"].to_numpy()) != 0) | (np.diff(table["two"].to_numpy()) != 0))
@@ -309,8 +322,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held and (table := pa.Table.from_batches(held)).num_rows:
             yield flush(table)
 
-    rest = rows.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(join, f"a {kind}, b {kind}").distinct()
-    rest = cut(rest)
+    rest = rows.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(join, f"a {kind}, b {kind}, needed long")
+    met = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
+    rest = cut(met.filter("shared >= needed").select("a", "b"))
     more = _decide(rest, source, width, num, den)
     final = components(links.union(more))
 
