@@ -43,7 +43,7 @@ TAIL = 24
 ROWS_BITS = 15
 FIT_DOCS = 6000
 ROUNDS = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 SMOOTH = 0.1
 #: The end token; no word is empty.
 END = b""
