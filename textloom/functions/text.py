@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Thresholds, word lists and patterns that results depend on.
 REVOKED = r"\b(vetado|revogad[ao]s?)\b"
@@ -129,39 +131,58 @@ def single_source(answer: Column, chunks: Column, threshold: float = 0.15) -> Co
     return F.size(F.filter(F.transform(chunks, lambda c: grounding(answer, c)), lambda x: x > threshold)) <= 1
 
 
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(strip(F.coalesce(text, F.lit("")))), r"[ \t\n\x0B\f\r]+"), lambda t: t != "")
+
+
 def token_f1(prediction: Column, reference: Column) -> Column:
-    """Harmonic mean of precision and recall over the multisets of lower-case tokens; 0 if either is empty."""
-    tokens = lambda x: F.filter(F.split(F.lower(strip(F.coalesce(x, F.lit("")))), r"[ \t\n\x0B\f\r]+"), lambda t: t != "")
-    p, r = tokens(prediction), tokens(reference)
+    """Harmonic mean of precision and recall over the multisets of lower-case tokens; 0 if either is empty.
+
+    For short texts: it counts each token by a pass over both.  :func:`token_f1_rows` takes long ones.
+    """
+    p, r = _tokens(prediction), _tokens(reference)
     many = lambda a, t: F.size(F.filter(a, lambda x: x == t))
     common = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, t: acc + F.least(many(p, t), many(r, t)))
     return F.when((F.size(p) == 0) | (F.size(r) == 0) | (common == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(p) + F.size(r)))
 
 
-def rouge_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda t: t != "")
+def token_f1_rows(df: DataFrame, id_col: str, prediction: str, reference: str) -> DataFrame:
+    """(id, f1): counts of (id, token), added up on the map side, then of ids."""
+    side = lambda c, is_p: F.transform(_tokens(F.col(c)), lambda t: F.struct(t.alias("t"), F.lit(is_p).alias("p")))
+    long = df.select(id_col, F.explode(F.concat(side(prediction, 1), side(reference, 0))).alias("x")).select(id_col, "x.t", "x.p")
+    counts = long.groupBy(id_col, "t").agg(F.sum("p").alias("n"), F.count(F.lit(1)).alias("all"))
+    sums = counts.groupBy(id_col).agg(F.sum(F.least("n", F.col("all") - F.col("n"))).alias("common"), F.sum("all").alias("total"))
+    return df.select(id_col).join(sums, id_col, "left").select(id_col, F.coalesce(2.0 * F.col("common") / F.col("total"), F.lit(0.0)).alias("f1"))
+
+
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence; the table's rows are bits of one number."""
+    where: dict[str, int] = {}
+    for i, token in enumerate(b):
+        where[token] = where.get(token, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for token in a:
+        hit = row & where.get(token, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
+def _rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    import re
+
+    cut = re.compile("[a-z0-9]+").findall
+    out = []
+    for x, y in zip(prediction, reference, strict=True):
+        p, r = cut((x or "").lower()), cut((y or "").lower())
+        n = common_subsequence(p, r) if p and r else 0
+        out.append(2.0 * n / (len(p) + len(r)) if n else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
-    """F-measure of the longest common subsequence of tokens, row by row of the usual table."""
-    p, r = rouge_tokens(prediction), rouge_tokens(reference)
-    zero = F.array_repeat(F.lit(0), F.size(r))
-
-    def line(above: Column, token: Column) -> Column:
-        # Each cell: left neighbour, the one above, or the diagonal plus one; the last of the array is the newest.
-        return F.aggregate(
-            F.arrays_zip(r.alias("r"), above.alias("up")),
-            F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("diag"), F.lit(0).alias("left")),
-            lambda acc, x: F.struct(
-                F.concat(acc["row"], F.array(F.when(x["r"] == token, acc["diag"] + 1).otherwise(F.greatest(x["up"], acc["left"])))).alias("row"),
-                x["up"].alias("diag"),
-                F.when(x["r"] == token, acc["diag"] + 1).otherwise(F.greatest(x["up"], acc["left"])).alias("left"),
-            ),
-            lambda acc: acc["row"],
-        )
-
-    common = F.coalesce(F.array_max(F.aggregate(p, zero, line)), F.lit(0))
-    return F.when((F.size(p) == 0) | (F.size(r) == 0) | (common == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(p) + F.size(r)))
+    """F-measure of the longest common subsequence of lower-case ASCII tokens; 0 if either is empty (Arrow batches)."""
+    return F.pandas_udf(_rouge_l, T.DoubleType())(prediction, reference)
 
 
 def strip_reasoning(text: Column) -> Column:

@@ -484,7 +484,8 @@ c AS (SELECT id, sum(least(pc.n, rc.n)) AS common FROM pc JOIN rc USING (id, t)
 SELECT i.id, round(coalesce(2e0 * common / (len({TOK_SQL.format('resposta_referencia')}) + len({TOK_SQL.format('pergunta')})), 0), 4) AS f1 FROM items i LEFT JOIN c USING (id)"""
 )
 def token_f1(spark, d):
-    return items(spark, d).select("id", F.round(tx.token_f1(F.col("resposta_referencia"), F.col("pergunta")), 4).alias("f1"))
+    found = tx.token_f1_rows(items(spark, d), "id", "resposta_referencia", "pergunta")
+    return found.select("id", F.round("f1", 4).alias("f1"))
 
 
 @query()
