@@ -45,7 +45,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint_root, cut, mix64, text_slices
 
 BUCKET_BITS = 21
-PARTS = 32
+PARTS = 256
+#: Parts are also compared in sums of this many.
+COARSE = 8
 #: Members of a region that one task compares with one another.
 BLOCK = 4096
 #: Rows of two numbers that may be broadcast; beyond, a shuffle joins.
@@ -113,7 +115,17 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _spread(sets: np.ndarray) -> bytes:
-    return np.bincount((sets & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype("<i4").tobytes()
+    """How many shingles lie in each part; a count stops at 255, which can only make two sets look nearer."""
+    return np.minimum(np.bincount((sets & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def _spreads(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    fine = np.frombuffer(b"".join(column), np.uint8).reshape(-1, PARTS).astype(np.int16)
+    return fine, fine.reshape(-1, PARTS // COARSE, COARSE).sum(axis=2, dtype=np.int16)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs(x - y).sum(axis=1, dtype=np.int64)
 
 
 def _pick(rows: DataFrame, keys: DataFrame, on: str, size: int) -> DataFrame:
@@ -182,7 +194,7 @@ def _needed(n, m, num: int, den: int):
     return most(one, overlap - most(beyond(n), beyond(m)))
 
 
-def _windows(cells: np.ndarray, n: np.ndarray, comp: np.ndarray, vec: np.ndarray, side: np.ndarray, num: int, den: int):
+def _windows(cells: np.ndarray, n: np.ndarray, comp: np.ndarray, spreads: tuple[np.ndarray, np.ndarray], side: np.ndarray, num: int, den: int):
     """Index pairs within runs of equal ``cells`` that pass every window; ``side`` -1 meets all, 0 meets only 1."""
     starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(cells)]]))
@@ -200,12 +212,13 @@ def _windows(cells: np.ndarray, n: np.ndarray, comp: np.ndarray, vec: np.ndarray
         ok = (comp[i] != comp[j]) & ((den - num) * total >= (den + num) * np.abs(n[i] - n[j]))
         ok &= (side[i] < 0) | (side[i] != side[j])
         i, j, total = i[ok], j[ok], total[ok]
-        for k in range(0, len(i), 100_000):
-            a, b = i[k : k + 100_000], j[k : k + 100_000]
-            apart = np.abs(vec[a] - vec[b]).sum(axis=1)
-            ok = (den - num) * total[k : k + 100_000] >= (den + num) * apart
-            out_i.append(a[ok])
-            out_j.append(b[ok])
+        for k in range(0, len(i), 50_000):
+            a, b, t = i[k : k + 50_000], j[k : k + 50_000], total[k : k + 50_000]
+            for vec in reversed(spreads):
+                ok = (den - num) * t >= (den + num) * _apart(vec[a], vec[b])
+                a, b, t = a[ok], b[ok], t[ok]
+            out_i.append(a)
+            out_j.append(b)
         at = to
     none = np.zeros(0, dtype=np.int64)
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
@@ -263,8 +276,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<i4").reshape(-1, PARTS) for k in (4, 5))
-            keep = (den - num) * (n + m) >= (den + num) * np.abs(x - y).sum(axis=1)
+            x, y = (_spreads(batch.column(k).to_pylist())[0] for k in (4, 5))
+            keep = (den - num) * (n + m) >= (den + num) * _apart(x, y)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
     other = thin.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("vec").alias("y"))
@@ -300,9 +313,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def flush(table: pa.Table) -> pa.RecordBatch:
             col = lambda k: table[k].to_numpy()
             key = mix64(col("cell").view(np.uint64)) + mix64((col("one").astype(np.int64) << 32 | col("two")).view(np.uint64) + np.uint64(1))
-            vec = np.frombuffer(b"".join(table["vec"].to_pylist()), "<i4").reshape(-1, PARTS)
+            spreads = _spreads(table["vec"].to_pylist())
             n = col("n").astype(np.int64)
-            i, j = _windows(key, n, col("comp"), vec, col("side"), num, den)
+            i, j = _windows(key, n, col("comp"), spreads, col("side"), num, den)
             a, b = col("id")[i], col("id")[j]
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(a, b), table["id"].type), pa.array(np.maximum(a, b), table["id"].type), pa.array(_needed(n[i], n[j], num, den), pa.int64())], names=["a", "b", "needed"]
