@@ -42,7 +42,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_root, cut, mix64, text_slices
+from .common import checkpoint_root, cut, mix64, release, remove_folder, text_slices
 
 BUCKET_BITS = 21
 PARTS = 256
@@ -259,12 +259,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = holders.select("key", "id")
     stored.join(firsts, ["key", "id"]).select("id", "n", "vec", "prefix").write.parquet(f"{folder}-points")
     sets = spark.read.parquet(f"{folder}-points")
+    # From here on the table of all documents needs no prefixes.
+    stored.select("id", "n", "key").write.parquet(f"{folder}-ids")
+    stored = spark.read.parquet(f"{folder}-ids")
+    remove_folder(spark, folder)
+    release(spark)
 
     # Regions of more than one member, with their document pivot.
     regions = cut(
         sets.select("id", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     )
     n_regions = regions.count()
+    release(spark)
     stars = (
         _pick(sets.select("id", F.explode("prefix").alias("cell")), regions.select("cell", "pivot"), "cell", n_regions)
         .filter("id <> pivot")
@@ -287,6 +293,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spokes = cut(spokes.select("id", "pivot", "n", "m", "vec", "y").mapInArrow(close, f"a {kind}, b {kind}"))
     links = _decide(spokes, source, width, num, den)
     labels = components(links)
+    release(spark)
 
     # What each region still holds of different components.
     tagged = sets.join(labels, "id", "left").select("id", "n", "vec", "prefix", F.coalesce("component", "id").alias("comp"))
@@ -338,6 +345,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = rows.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(join, f"a {kind}, b {kind}, needed long")
     met = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
     rest = cut(met.filter("shared >= needed").select("a", "b"))
+    del met, rows, mixed
+    release(spark)
     more = _decide(rest, source, width, num, den)
     final = components(links.union(more))
 
