@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import TextEncoder, strings, text_slices
 
 #: Pieces that a worker remembers, in each of two generations.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 
 
 class Vocabulary:
@@ -143,7 +143,7 @@ class Vocabulary:
             left = last[start - 1]
             valid = pairs.get(left << 32 | token)
             if valid is None:
-                if len(pairs) > 1_000_000:
+                if len(pairs) > 200_000:
                     pairs.clear()
                 valid = pairs[left << 32 | token] = self.pair(left, token)
             if valid:
@@ -242,7 +242,7 @@ def encode(
         vocabulary = encoder.vocabulary
         item = pa.field("element", pa.int32(), False)
         for whole in batches:
-            for batch in text_slices(whole, at):
+            for batch in text_slices(whole, at, 4 << 20):
                 found = encoder.encode(strings(batch.column(at)))
                 offsets = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
