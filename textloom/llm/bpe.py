@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import TextEncoder, strings, text_slices
 
 #: Pieces that a worker remembers, in each of two generations.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 150_000
 
 
 class Vocabulary:
@@ -143,7 +143,7 @@ class Vocabulary:
             left = last[start - 1]
             valid = pairs.get(left << 32 | token)
             if valid is None:
-                if len(pairs) > 200_000:
+                if len(pairs) > 400_000:
                     pairs.clear()
                 valid = pairs[left << 32 | token] = self.pair(left, token)
             if valid:

@@ -39,7 +39,7 @@ from .common import TextEncoder, checkpoint_root, text_slices
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-CACHE_PIECES = 100_000
+CACHE_PIECES = 150_000
 
 
 @lru_cache(maxsize=2)
