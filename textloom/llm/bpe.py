@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextEncoder, strings, text_slices
+from .common import strings, text_slices
 
-#: Pieces that a worker remembers, in each of two generations.
-CACHE_PIECES = 150_000
+#: Pieces that a worker remembers.
+CACHE_PIECES = 200_000
 
 
 class Vocabulary:
@@ -84,16 +84,10 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     def _prepare(self) -> None:
-        """The last merge of each token, and the token that two neighbours merge into."""
+        """The last merge of each token, and the tokens that their own bytes don't encode to."""
         self._split: list[tuple[int, int]] = [(-1, -1)] * len(self.tokens)
-        self._joined: dict[int, int] = {}
         ranks = self.ranks
         for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                left = ranks.get(token[:i])
-                right = ranks.get(token[i:]) if left is not None else None
-                if right is not None:
-                    self._joined[left << 32 | right] = rank
             parts = self.merged(token, below=rank)
             if len(parts) == 2:
                 self._split[rank] = (parts[0], parts[1])
@@ -112,10 +106,10 @@ class Vocabulary:
         would have merged before the merge undone last; of merges of one rank
         the leftmost comes first, so a tie counts against the right side only.
         """
-        joined, split = self._joined, self._split
+        ranks, tokens, split = self.ranks, self.tokens, self._split
         a, b, limit = left, right, 1 << 62
         while True:
-            token = joined.get(a << 32 | b)
+            token = ranks.get(tokens[a] + tokens[b])
             if token is not None and token < limit:
                 return False
             parts_a, parts_b = split[a], split[b]
@@ -204,16 +198,33 @@ class PrefixTable:
         return out[::-1]
 
 
-class Encoder(TextEncoder):
-    """The encoder of a worker: prefix tables behind bounded memos."""
+class PieceCache(dict):
+    """Piece of text to the little-endian 32-bit ids that encode it; emptied when it is full."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = CACHE_PIECES):
+        self.vocabulary, self.most = vocabulary, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        found = np.asarray(ids, dtype="<i4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class Encoder:
+    """The encoder of a worker: prefix tables behind a bounded cache of pieces."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary.from_file(path)
-        super().__init__(regex.compile(pattern), self._encode_pieces, CACHE_PIECES)
+        self.cut = regex.compile(pattern)
+        self.pieces = PieceCache(self.vocabulary)
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        encode = self.vocabulary.encode_piece
-        return [np.asarray(encode(p.encode("utf-8", "surrogatepass")), dtype="<i4").tobytes() for p in pieces]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut, piece = self.cut.findall, self.pieces.__getitem__
+        return [b"".join(map(piece, cut(text))) for text in texts]
 
 
 @lru_cache(maxsize=2)
