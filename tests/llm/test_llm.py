@@ -294,6 +294,20 @@ def test_lm_base_and_gain(spark, docs, none, odd):
     assert maxent_lm.score(odd, odd).count() == len(ODD)
 
 
+def test_lm_learns_from_every_document(spark):
+    """A word pair that only documents outside the former draw of 6000 hold counts."""
+    ids = spark.range(9000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < 6000 / 9000).alias("drawn"))
+    train = ids.select("doc_id", F.when(F.col("drawn"), F.lit("a b a b a b a b")).otherwise(F.lit("c d c d c d c d")).alias("text"))
+    asked = spark.createDataFrame([(1, "a b a b a b a b"), (2, "c d c d c d c d")], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in maxent_lm.score(asked, train).collect()}
+    assert found[2] > 9 * np.log10(0.5)
+    assert found[1] > 9 * np.log10(0.5)
+
+
+def test_lm_table_grows_with_tokens():
+    assert [maxent_lm.table_bits(n) for n in (0, 1 << 22, 1 << 24, 1 << 26, 1 << 32)] == [15, 15, 16, 17, 20]
+
+
 def test_lm_probabilities_sum_to_one():
     texts = ["a b c a b", "b c a d", "e f a b"]
     head = {b"a": 0, maxent_lm.END: 1}

@@ -12,9 +12,11 @@ sum to 1.  A text is the sequence of its words and an end token.
 * Counts of words and classes cover all training texts: each task counts its own,
   Spark sums them up.
 * The class weights are trained by distributed gradient updates: in each round every
-  partition of the training sample makes AdaGrad steps from the common weights, and
-  the results are averaged.  The sample has about ``FIT_DOCS`` documents, chosen by
-  a hash of the id; the weights have a fixed size.
+  partition of the training texts makes AdaGrad steps from the common weights, and
+  the results are averaged, each row over the partitions that met it, by how often
+  they did.  A row that few partitions know isn't watered down by the others.
+* The table of weights grows with the training tokens, its rows as their square root
+  (the growth of vocabularies); every task that trains or scores holds it.
 * For scoring, documents are dealt to blocks of about ``BLOCK_BYTES`` of text.  Each
   block asks the table of counts for its distinct words, and documents and answers
   meet block by block; no task needs the vocabulary as a whole.
@@ -36,13 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, text_slices
+from .common import cut, mix64, release, text_slices
 
 HEAD = 24
 TAIL = 24
+#: The weights have 1 << ROWS_BITS rows below 4 * ROWS_TOKENS training tokens, and twice as many rows for each four times as many tokens.
 ROWS_BITS = 15
-FIT_DOCS = 6000
+ROWS_TOKENS = 1 << 22
 ROUNDS = 3
+#: Training text of a partition and of a step of it, and rows of weights that are averaged together.
+PART_BYTES = 128 << 20
+FIT_BYTES = 2 << 20
+CHUNK_ROWS = 1024
 BLOCK_BYTES = 16 << 20
 SMOOTH = 0.1
 #: The end token; no word is empty.
@@ -57,13 +64,21 @@ def words_of(text: str | None) -> list[bytes]:
 @dataclass
 class Model:
     head: dict[bytes, int]
-    weights: np.ndarray  # (1 << ROWS_BITS, classes)
+    weights: np.ndarray  # (1 << bits, classes)
     bias: np.ndarray
 
     @property
     def classes(self) -> int:
         return len(self.bias)
 
+    @property
+    def bits(self) -> int:
+        return len(self.weights).bit_length() - 1
+
+
+def table_bits(tokens: int) -> int:
+    return ROWS_BITS + max(0, (tokens // ROWS_TOKENS).bit_length() - 1) // 2
+
 
 def class_of(word: bytes, head: dict[bytes, int]) -> int:
     found = head.get(word)
@@ -77,7 +92,7 @@ def _codes(types: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word, tail
 
 
-def feature_rows(ids: np.ndarray, place: np.ndarray, types: list[bytes]) -> np.ndarray:
+def feature_rows(ids: np.ndarray, place: np.ndarray, types: list[bytes], bits: int = ROWS_BITS) -> np.ndarray:
     """Weight rows of every token, (tokens, TEMPLATES); ``place`` is its position in its text."""
     word, tail = _codes(types)
     none = len(types)
@@ -89,7 +104,7 @@ def feature_rows(ids: np.ndarray, place: np.ndarray, types: list[bytes]) -> np.n
         return out
 
     one, two, three = back(1), back(2), back(3)
-    mask = np.uint64((1 << ROWS_BITS) - 1)
+    mask = np.uint64((1 << bits) - 1)
     raw = (
         word[one] * np.uint64(8) + np.uint64(1),
         (tail[one] * np.uint64(0x9E3779B1) + tail[two]) * np.uint64(8) + np.uint64(2),
@@ -130,34 +145,59 @@ def class_scores(model: Model, rows: np.ndarray, gold: np.ndarray) -> np.ndarray
     return out
 
 
+class Descent:
+    """AdaGrad steps from a model; ``met`` counts how often each row of weights was used."""
+
+    def __init__(self, model: Model, seed: int, batch: int = 1024, rate: float = 0.15):
+        self.model = Model(model.head, model.weights.copy(), model.bias.copy())
+        self.squares, self.b_squares = np.full(model.weights.shape, 1e-3, np.float32), np.full(model.bias.shape, 1e-3, np.float32)
+        self.met, self.tokens = np.zeros(len(model.weights), np.float32), 0
+        self.rng, self.batch, self.rate = np.random.default_rng(seed), batch, rate
+
+    def learn(self, texts: list[str | None]) -> None:
+        """One pass over texts, in random order of batches."""
+        model, squares, b_squares, batch, rate = self.model, self.squares, self.b_squares, self.batch, self.rate
+        types, ids, lengths = tokens_of(texts)
+        rows = feature_rows(ids, _places(lengths), types, model.bits)
+        gold = np.array([class_of(w, model.head) for w in types])[ids]
+        weights, bias = model.weights, model.bias
+        for part in np.array_split(self.rng.permutation(len(gold)), max(1, len(gold) // batch)):
+            if not len(part):
+                continue
+            own = rows[part]
+            z = weights[own[:, 0]] + bias
+            for k in range(1, TEMPLATES):
+                z += weights[own[:, k]]
+            z -= z.max(axis=1, keepdims=True)
+            p = np.exp(z, out=z)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(part)), gold[part]] -= 1
+            p /= batch / 32
+            # Row numbers in order, each with its place in the batch in the low half.
+            key = own.ravel().astype(np.int64) << 32 | np.arange(own.size)
+            key.sort()
+            flat = key >> 32
+            start = np.flatnonzero(np.diff(flat, prepend=-1))
+            used = flat[start]
+            gradient = np.add.reduceat(p[(key & 0xFFFFFFFF) // TEMPLATES], start, axis=0)
+            self.met[used] += np.diff(start, append=len(flat))
+            step = squares[used]
+            step += gradient * gradient
+            squares[used] = step
+            np.divide(gradient, np.sqrt(step, out=step), out=step)
+            step *= rate
+            weights[used] -= step
+            g = p.sum(axis=0)
+            b_squares += g**2
+            bias -= rate * g / np.sqrt(b_squares)
+        self.tokens += len(gold)
+
+
 def descend(model: Model, texts: list[str | None], seed: int, batch: int = 1024, rate: float = 0.15) -> Model:
-    """One pass of AdaGrad steps over texts, in random order of batches."""
-    types, ids, lengths = tokens_of(texts)
-    rows = feature_rows(ids, _places(lengths), types)
-    gold = np.array([class_of(w, model.head) for w in types])[ids]
-    weights, bias = model.weights.copy(), model.bias.copy()
-    squares, b_squares = np.full(weights.shape, 1e-3, np.float32), np.full(bias.shape, 1e-3, np.float32)
-    rng = np.random.default_rng(seed)
-    for part in np.array_split(rng.permutation(len(gold)), max(1, len(gold) // batch)):
-        if not len(part):
-            continue
-        own = rows[part]
-        z = weights[own].sum(axis=1) + bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(part)), gold[part]] -= 1
-        p /= batch / 32
-        flat = own.ravel()
-        order = np.argsort(flat, kind="stable")
-        used, start = np.unique(flat[order], return_index=True)
-        gradient = np.add.reduceat(p[order // TEMPLATES], start, axis=0)
-        squares[used] += gradient**2
-        weights[used] -= rate * gradient / np.sqrt(squares[used])
-        g = p.sum(axis=0)
-        b_squares += g**2
-        bias -= rate * g / np.sqrt(b_squares)
-    return Model(model.head, weights, bias)
+    """One pass of AdaGrad steps over texts."""
+    descent = Descent(model, seed, batch, rate)
+    descent.learn(texts)
+    return descent.model
 
 
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -176,34 +216,63 @@ def count_words(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(sample: DataFrame, head: dict[bytes, int], text_col: str, rounds: int = ROUNDS, parts: int = 6) -> Model:
-    """Rounds of local gradient passes over the partitions of ``sample``, averaged."""
-    classes = len(head) + TAIL
-    model = Model(head, np.zeros((1 << ROWS_BITS, classes), np.float32), np.zeros(classes, np.float32))
-    spread = cut(sample.select(text_col).repartition(parts))
+def fit(train: DataFrame, head: dict[bytes, int], text_col: str, tokens: int, rounds: int = ROUNDS) -> Model:
+    """Rounds of local gradient passes over the partitions of ``train``, which has ``tokens`` tokens, averaged row by row."""
+    classes, bits = len(head) + TAIL, table_bits(tokens)
+    model = Model(head, np.zeros((1 << bits, classes), np.float32), np.zeros(classes, np.float32))
+    spark = train.sparkSession
+    held = train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    spread = train.select(text_col).coalesce(max(6, -(-int(held) // PART_BYTES)))
     for number in range(rounds):
-        now = model
-
-        def run(batches: Iterator[pa.RecordBatch], now: Model = now, number: int = number) -> Iterator[pa.RecordBatch]:
-            texts = [x for batch in batches for x in batch.column(0).to_pylist()]
-            if texts:
-                got = descend(now, texts, number, rate=0.15 / (1 + number))
-                both = np.concatenate([got.weights.ravel(), got.bias]).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([both], pa.binary())], names=["weights"])
-
-        total, n = np.zeros(model.weights.size + classes, dtype=np.float64), 0
-        for row in spread.mapInArrow(run, "weights binary").toLocalIterator():
-            total += np.frombuffer(row[0], dtype="<f4")
-            n += 1
-        if n:
-            total /= n
-            model = Model(head, total[: model.weights.size].reshape(model.weights.shape).astype(np.float32), total[model.weights.size :].astype(np.float32))
+        sent = spark.sparkContext.broadcast((head, model.weights, model.bias))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, number: int = number) -> Iterator[pa.RecordBatch]:
+            descent = None
+            for whole in batches:
+                for batch in text_slices(whole, 0, FIT_BYTES):
+                    descent = descent or Descent(Model(*sent.value), number, rate=0.15 / (1 + number))
+                    descent.learn(batch.column(0).to_pylist())
+            if descent is None:
+                return
+            got, met = descent.model, descent.met
+            for at in range(0, len(met), CHUNK_ROWS):
+                if met[at : at + CHUNK_ROWS].any():
+                    yield _chunk(at, met[at : at + CHUNK_ROWS], got.weights[at : at + CHUNK_ROWS])
+            yield _chunk(-1, np.array([descent.tokens], np.float32), got.bias)
+
+        weights, bias = model.weights.copy(), model.bias
+        for row in spread.mapInArrow(run, CHUNK).groupBy("at").applyInArrow(_average, CHUNK).toLocalIterator():
+            found = np.frombuffer(row["weights"], "<f4").reshape(-1, classes)
+            if row["at"] < 0:
+                bias = found[0].copy()
+            else:
+                met = np.frombuffer(row["met"], "<f4") > 0
+                weights[row["at"] : row["at"] + len(met)][met] = found[met]
+        model = Model(head, weights, bias)
+        sent.destroy()
+        release(spark)
     return model
 
 
-def score(
-    docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+CHUNK = "at int, met binary, weights binary"
+
+
+def _chunk(at: int, met: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([at], pa.int32()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (met, weights))]
+    return pa.RecordBatch.from_arrays(columns, names=["at", "met", "weights"])
+
+
+def _average(parts: pa.Table) -> pa.Table:
+    """Means of the rows of a chunk, by how often each partition met them."""
+    total, summed = 0.0, 0.0
+    for met, weights in zip(parts["met"], parts["weights"], strict=True):
+        n = np.frombuffer(met.as_buffer(), "<f4").astype(np.float64)
+        total = total + n
+        summed = summed + n[:, None] * np.frombuffer(weights.as_buffer(), "<f4").reshape(len(n), -1)
+    return pa.Table.from_batches([_chunk(parts["at"][0].as_py(), total, summed / np.maximum(total, 1)[:, None])])
+
+
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score (both log10) of every document."""
     counts = cut(count_words(train, text_col))
     seen = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -222,8 +291,8 @@ def score(
     class_n = np.array([sums.get(k, (0, 0))[0] for k in range(classes)], dtype=np.float64)
     class_v = np.array([sums.get(k, (0, 0))[1] for k in range(classes)], dtype=np.float64)
 
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    model = fit(train.filter(draw < F.lit(min(1.0, fit_docs / max(1, trained)))), head, text_col)
+    model = fit(train, head, text_col, total)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
@@ -245,6 +314,7 @@ def score(
     answers = asked.join(counts, "word").select("block", "word", "c")
 
     def score_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = Model(head, *sent.value)
         known = dict(zip(right["word"].to_pylist(), right["c"].to_pylist(), strict=True))
         known[END] = trained
         ids, out = left["id"], []
@@ -263,7 +333,7 @@ def score(
             k = np.array([class_of(w, model.head) for w in types])
             inside = np.log((c + SMOOTH) / (class_n[k] + SMOOTH * (class_v[k] + 1)))
             base = np.log10((c + SMOOTH) / (total + SMOOTH * (distinct + 1)))
-            by_class = class_scores(model, feature_rows(tokens, _places(lengths), types), k[tokens])
+            by_class = class_scores(model, feature_rows(tokens, _places(lengths), types, model.bits), k[tokens])
             first = np.cumsum(lengths) - lengths
             out.append(
                 (
