@@ -250,3 +250,10 @@ def test_resume_stream(spark, tmp_path):
 def test_windows():
     assert [len(w) for w in io.windows(list(range(1000)))] == [450, 450, 100] and io.windows([]) == [[]]
     assert math.isclose(sum(map(len, io.windows("x" * 451))), 451)
+
+
+def test_renumber_beyond_four_digits(spark):
+    items = spark.range(12346).select("id", F.col("id").alias("ord"), F.lit("d").alias("dominio"), F.lit("n").alias("nivel_dificuldade"))
+    found = {r["id"]: r["new_id"] for r in clean.renumber(items).collect()}
+    assert (found[0], found[1233], found[12344]) == ("d_n_0001", "d_n_1234", "d_n_12345")
+    assert len(set(found.values())) == 12346

@@ -60,9 +60,9 @@ def kept_by_stratum(items: DataFrame) -> DataFrame:
 
 
 def renumber(items: DataFrame, order: str = "ord", id_col: str = "id") -> DataFrame:
-    """Adds ``new_id``: stratum and running number in file order."""
+    """Adds ``new_id``: stratum and running number (of at least four digits) in file order."""
     nth = F.row_number().over(W.partitionBy("dominio", "nivel_dificuldade").orderBy(order, id_col))
-    return items.withColumn("new_id", F.concat_ws("_", "dominio", "nivel_dificuldade", F.lpad(nth.cast("string"), 4, "0")))
+    return items.withColumn("new_id", F.concat_ws("_", "dominio", "nivel_dificuldade", F.format_string("%04d", nth)))
 
 
 def validation_stamp(items: DataFrame, approvers: str = "validado_por") -> DataFrame:
