@@ -155,6 +155,17 @@ def test_token_files(spark):
     assert {r[0]: tuple(r)[1:] for r in queries.op8_token_files(spark, DATA).collect()} == want
 
 
+def test_token_files_added_tokens_in_text():
+    from tokenizers import Tokenizer
+
+    path = TOKENIZERS.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    mark = next(t.content for t in tokenizer.get_added_tokens_decoder().values())
+    texts = [f"a{mark}b", "plain words", f" {mark}  {mark} end ", "", mark, mark[:-1], f"x {mark[:3]}{mark}\n"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<i4").tolist() for x in token_files.encode_texts(texts, path, PATTERN)] == want
+
+
 def test_token_file_format(spark, odd, none, tmp_path):
     import pyarrow.parquet as pq
 

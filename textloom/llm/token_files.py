@@ -14,8 +14,8 @@ The global start of a document is its local start plus the sizes of the parts
 before; those are summed from the two small columns alone, and there is one sum
 per part, a number that the writer sets.
 
-Defined results: a null or empty text has only the end id; strings of special
-tokens are ordinary text; a null id sorts first; repeated ids keep all their rows
+Defined results: a null or empty text has only the end id; strings of added tokens
+in a text become their ids, as by the library's default; a null id sorts first; repeated ids keep all their rows
 in one part, ordered by text; an empty table writes an empty file; extra columns
 aren't stored.
 """
@@ -43,12 +43,13 @@ CACHE_PIECES = 150_000
 
 
 @lru_cache(maxsize=2)
-def _tools(path: str, pattern: str) -> TextEncoder:
+def _tools(path: str, pattern: str) -> tuple:
+    """The memos of pieces, the tokenizer itself and the strings of its added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode_pieces(pieces: list[str]) -> list[bytes]:
         out = []
@@ -60,16 +61,25 @@ def _tools(path: str, pattern: str) -> TextEncoder:
             out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
-    return TextEncoder(regex.compile(pattern), encode_pieces, CACHE_PIECES)
+    return TextEncoder(regex.compile(pattern), encode_pieces, CACHE_PIECES), tokenizer, added
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The tokenizer cuts texts by ``pattern`` and encodes each piece alone, so it
-    is given every piece that this worker doesn't remember, once.
+    is given every piece that this worker doesn't remember, once.  Texts that hold
+    an added token it cuts and encodes as a whole.
     """
-    return _tools(path, pattern).encode(texts)
+    encoder, tokenizer, added = _tools(path, pattern)
+    whole = {i for i, text in enumerate(texts) if any(t in text for t in added)}
+    if not whole:
+        return encoder.encode(texts)
+    rest = iter(encoder.encode([text for i, text in enumerate(texts) if i not in whole]))
+    return [
+        np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes() if i in whole else next(rest)
+        for i, text in enumerate(texts)
+    ]
 
 
 def write(
