@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 from textloom.llm import bpe, decontam, exact_dedup, jaccard_join, langid, token_files
 from textloom.llm.common import table
 
-#: A text whose words are in no language with at least this posterior share is rejected.
-LEAST_SCORE = 0.4
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a language that the CRF finds likely."""
+    """Drops documents without letters; a text of several languages stays, whatever the share of the largest."""
     labelled = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(labelled), out=("_lang", "_score"))
-    return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.filter(F.col("_lang") != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -453,6 +453,20 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert set(last) == set(rows) and all(r["exact"] for r in last.values())
 
 
+def test_pipeline_keeps_mixed_and_short_texts(spark, docs):
+    import corpus_pipeline
+
+    by_lang = {}
+    for r in docs.filter("text is not null and lang is not null").orderBy("doc_id").collect():
+        by_lang.setdefault(r["lang"], []).append(r["text"].split()[:40])
+    mixed = [" ".join(w for own in part for w in own) for part in zip(*by_lang.values(), strict=False)]
+    words = sorted({w for own in by_lang.values() for text in own[:5] for w in text if w.isalpha()})
+    rows = [(i, text, None, None, len(text)) for i, text in enumerate([*mixed, *words, "123 456"])]
+    asked = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, asked, DATA).collect()}
+    assert kept == set(range(len(rows) - 1))
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline
 
