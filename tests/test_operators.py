@@ -2,12 +2,15 @@
 
 import math
 import os
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import chunk, clean, joins, judge, report, sample
+from textloom.plans import queries
 from textloom.sources import io
 
 
@@ -257,3 +260,27 @@ def test_renumber_beyond_four_digits(spark):
     found = {r["id"]: r["new_id"] for r in clean.renumber(items).collect()}
     assert (found[0], found[1233], found[12344]) == ("d_n_0001", "d_n_1234", "d_n_12345")
     assert len(set(found.values())) == 12346
+
+
+def test_near_dedup_over_the_whole_vocabulary(spark):
+    """Against brute force; the smallest table has fewer than 4096 terms, so all of them count."""
+    data, counts = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{data}/benchmark.parquet").collect():
+        words = re.findall(queries.TOKEN, r["text"].lower())
+        counts[r["item_id"]] = Counter([*words, *map(" ".join, zip(words, words[1:], strict=False))])
+    df = Counter(t for own in counts.values() for t in own)
+    assert 400 < len(df) <= 4096
+    vectors = {}
+    for i, own in counts.items():
+        raw = {t: n * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in own.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        vectors[i] = {t: x / norm for t, x in raw.items()}
+    gone = {}
+    for a in sorted(vectors):
+        for b in sorted(vectors):
+            if a < b and sum(x * vectors[b].get(t, 0) for t, x in vectors[a].items()) >= 0.2:
+                if a not in gone:
+                    gone[b] = a
+                else:
+                    gone.setdefault(a, b)
+    assert {r["id"]: r["because"] for r in queries.QUERIES["near_dedup"](spark, data).collect()} == gone

@@ -420,9 +420,9 @@ def audit_summary(spark, d):
 TOKEN = "[a-z]{4,}"
 
 
-def _vectors(spark, d):
+def _vectors(spark, d, max_features=400):
     pool = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("block"), "text", F.concat(F.lit("s"), (F.col("item_id") % 3).cast("string")).alias("source"))
-    return pool, similarity.tfidf(pool, "id", "block", "text", ngram=2, max_features=400, token=TOKEN)
+    return pool, similarity.tfidf(pool, "id", "block", "text", ngram=2, max_features=max_features, token=TOKEN)
 
 
 VECTORS_SQL = f"""w AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS ws FROM benchmark),
@@ -463,7 +463,7 @@ def similar_neighbours(spark, d):
 
 @query()
 def near_dedup(spark, d):
-    pairs = similarity.cosine_pairs(_vectors(spark, d)[1], 0.2)
+    pairs = similarity.cosine_pairs(_vectors(spark, d, max_features=4096)[1], 0.2)
     gone = clean.near_dedup(pairs.withColumn("ord", F.col("id_a") * 1_000_000 + F.col("id_b")))
     return spark.createDataFrame([(int(a), int(b)) for a, b in sorted(gone.items())], "id long, because long")
 
