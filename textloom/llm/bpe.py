@@ -13,8 +13,10 @@ per byte, exactly:
 
 Reading the table backwards gives the ids.  A text is first cut into pieces by
 the pattern of the vocabulary and each piece is encoded alone; a piece that is
-itself a token is that token.  Each worker keeps the pieces it has met in a cache
-of bounded size.
+itself a token is that token.  :class:`Tables` fills the tables of all distinct
+pieces of a batch at once, one prefix length after another, in arrays; pieces too
+long for it get a :class:`PrefixTable`.  Each worker remembers segments of texts and
+decisions on pairs within bounds.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; ids
 outside the vocabulary raise ``ValueError`` when decoded; texts are encoded whole
@@ -30,15 +32,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings, text_slices
+from .common import mix64, text_slices
+from .segments import SegmentEncoder, gather
 
-#: Pieces that a worker remembers.
-CACHE_PIECES = 200_000
+#: Segments that a worker remembers.
+CACHE_SEGMENTS = 150_000
+#: Longest piece, in bytes, whose table is filled in arrays; tokens of more than WIDE bytes also get a table of their own.
+LONGEST = 48
+WIDE = 16
+#: Decisions on pairs that a worker remembers, as a power of two.
+PAIR_BITS = 18
 
 
 class Vocabulary:
@@ -198,33 +207,283 @@ class PrefixTable:
         return out[::-1]
 
 
-class PieceCache(dict):
-    """Piece of text to the little-endian 32-bit ids that encode it; emptied when it is full."""
+class Lookup:
+    """Numbers of 64-bit keys that are all different: open addressing in arrays, -1 for a key that isn't there."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = CACHE_PIECES):
-        self.vocabulary, self.most = vocabulary, most
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        slot = self._slots(keys)
+        while len(left):
+            free = self.values[slot[left]] < 0
+            first = left[free][np.unique(slot[left[free]], return_index=True)[1]]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            left = np.setdiff1d(left, first, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        found = np.asarray(ids, dtype="<i4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = found
-        return found
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slots(keys)
+        out = self.values[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.values[slot[left]]
+            left = left[(out[left] >= 0) & (self.keys[slot[left]] != keys[left])]
+        return out
+
+
+def _packed(token: bytes) -> int:
+    return int.from_bytes(token, "big")
+
+
+class Tables:
+    """Fills the prefix tables of many pieces at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        ranks, tokens = vocabulary.ranks, vocabulary.tokens
+        by_size: dict[int, list[bytes]] = {}
+        for token in ranks:
+            by_size.setdefault(len(token), []).append(token)
+        #: Tokens of each size up to WIDE by their last eight bytes, and the bytes before these as a second key.
+        self.by_size = {}
+        for size in sorted(k for k in by_size if 2 <= k <= WIDE):
+            own = by_size[size]
+            near = np.array([_packed(t[-8:]) for t in own], dtype=np.uint64)
+            far = np.array([_packed(t[:-8]) for t in own], dtype=np.uint64)
+            self.by_size[size] = Lookup(near ^ mix64(far) if size > 8 else near, np.array([ranks[t] for t in own], np.int32))
+        self.single = np.full(256, -1, np.int32)
+        for token in by_size.get(1, ()):
+            self.single[token[0]] = ranks[token]
+        #: Sizes of the tokens that end in three bytes, as bits, by a hash; two bytes for tokens of these alone.
+        self.sizes = np.zeros(1 << 20, np.uint32)
+        self.wide = np.zeros(1 << 20, bool)
+        for size, own in by_size.items():
+            if size >= 3:
+                at = self._end(np.array([_packed(t[-3:]) for t in own], dtype=np.uint64))
+                if size <= WIDE:
+                    np.bitwise_or.at(self.sizes, at, np.uint32(1 << size))
+                else:
+                    self.wide[at] = True
+        count = len(tokens)
+        self.near = np.array([_packed(t[-8:]) if t else 0 for t in tokens], dtype=np.uint64)
+        self.far = np.array([_packed(t[-16:-8]) if t else 0 for t in tokens], dtype=np.uint64)
+        self.length = np.array([len(t) if t else 0 for t in tokens], dtype=np.int64)
+        self.odd = np.zeros(count, bool)
+        self.odd[list(vocabulary._odd)] = True
+        split = np.array(vocabulary._split, dtype=np.int64).reshape(-1, 2)
+        self.left, self.right = split[:, 0], split[:, 1]
+        both, made = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a = ranks.get(token[:k])
+                if a is not None:
+                    b = ranks.get(token[k:])
+                    if b is not None:
+                        both.append(a << 32 | b)
+                        made.append(rank)
+        self.merges = Lookup(np.array(both, dtype=np.uint64), np.array(made, dtype=np.int32))
+        self.pair_keys = np.zeros(1 << PAIR_BITS, np.uint64)
+        self.pair_valid = np.zeros(1 << PAIR_BITS, bool)
+
+    @staticmethod
+    def _end(codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`Vocabulary.pair` of many pairs, each distinct new one decided once."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slot = (mix64(keys) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_valid[slot]
+        # No pair has the key 0 unless token 0 follows itself; that one is decided each time.
+        new = np.flatnonzero((self.pair_keys[slot] != keys) | (keys == 0))
+        if len(new):
+            distinct, place = np.unique(keys[new], return_inverse=True)
+            decided = self._decide((distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            out[new] = decided[place]
+            at = (mix64(distinct) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            self.pair_keys[at], self.pair_valid[at] = distinct, decided
+        return out
+
+    def _decide(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        valid = np.ones(len(a), bool)
+        limit = np.full(len(a), 1 << 62, np.int64)
+        alive = np.arange(len(a))
+        while len(alive):
+            joined = self.merges.find(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+            fails = (joined >= 0) & (joined < limit)
+            valid[alive[fails]] = False
+            splits_a, splits_b = self.left[a] >= 0, self.left[b] >= 0
+            take_a = splits_a & ((a > b) | ~splits_b)
+            limit = np.where(take_a, a, b + 1)
+            on = ~fails & (splits_a | splits_b)
+            a, b = np.where(take_a, self.right[a], a), np.where(take_a, b, self.left[b])
+            alive, limit, a, b = alive[on], limit[on], a[on], b[on]
+        return valid
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has."""
+        counts = np.zeros(len(pieces), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        short = np.flatnonzero((size > 0) & (size <= LONGEST))
+        slow = np.flatnonzero(size > LONGEST).tolist()
+        for at in range(0, len(short), 50_000):
+            own = short[at : at + 50_000]
+            ids, held, missed = self._encode_short([pieces[i] for i in own.tolist()], size[own])
+            slow += own[missed].tolist()
+            counts[own] = held
+            parts.append((own, ids))
+        for i in slow:
+            ids = np.array(self.vocabulary.encode_piece(pieces[i]), dtype=np.int32)
+            counts[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        if not parts:
+            return np.zeros(0, np.int32), counts
+        order = np.concatenate([x for x, _ in parts])
+        flat = np.concatenate([x for _, x in parts])
+        # Pieces that were left to the slow way stand in ``order`` twice, the first time with no ids.
+        held = counts[order]
+        first = np.zeros(len(order), bool)
+        first[len(short) :] = True
+        left = np.zeros(len(pieces), bool)
+        left[slow] = True
+        held = np.where(first | ~left[order], held, 0)
+        starts = np.zeros(len(pieces), np.int64)
+        final = held > 0
+        starts[order[final]] = (np.cumsum(held) - held)[final]
+        return gather(flat, starts, counts), counts
+
+    def _encode_short(self, pieces: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, how many each piece has, and the numbers of pieces that need a table of their own (these have none)."""
+        vocabulary, text = self.vocabulary, np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        n = len(text)
+        ends = np.cumsum(size)
+        begin = np.repeat(ends - size, size)  # where each byte's piece starts
+        nth = np.arange(n) - begin + 1  # length of the prefix that ends with it
+        wide = text.astype(np.uint64)
+        # The eight bytes up to each position, with zeros before the piece.
+        near = wide.copy()
+        for k in range(1, 8):
+            near[k:] |= np.where(nth[k:] > k, wide[:-k] << np.uint64(8 * k), np.uint64(0))
+        far = np.zeros(n, np.uint64)
+        far[8:] = np.where(nth[8:] > 8, near[:-8], np.uint64(0))
+        hashed = self._end(near & np.uint64(0xFFFFFF))
+        sizes = np.where(nth >= 3, self.sizes[hashed], np.uint32(0))
+        missed = np.zeros(len(pieces), bool)
+        maybe = np.flatnonzero(self.wide[hashed] & (nth > WIDE))
+        if len(maybe):
+            missed[np.searchsorted(ends, maybe, side="right")] = True
+
+        # All tokens that end at a position, as (position, size, token), longest first.
+        found_at, found_size, found = [], [], []
+        for k in sorted(self.by_size, reverse=True):
+            at = np.flatnonzero((sizes >> np.uint32(k)) & np.uint32(1) & (nth >= k)) if k > 2 else np.flatnonzero(nth >= 2)
+            if not len(at):
+                continue
+            key = near[at] & np.uint64((1 << 64) - 1 >> max(0, 64 - 8 * k))
+            if k > 8:
+                key = key ^ mix64(far[at] & np.uint64((1 << 8 * (k - 8)) - 1))
+            token = self.by_size[k].find(key)
+            hit = np.flatnonzero(token >= 0)
+            at, token = at[hit], token[hit].astype(np.int64)
+            if k > 8:  # two keys in one: compare the bytes
+                same = (self.near[token] == near[at]) & (self.far[token] == far[at] & np.uint64((1 << 8 * (k - 8)) - 1)) if k < 16 else (self.near[token] == near[at]) & (self.far[token] == far[at])
+                at, token = at[same], token[same]
+            found_at.append(at)
+            found_size.append(np.full(len(at), k, np.int64))
+            found.append(token)
+        every = np.arange(n)
+        found_at.append(every)
+        found_size.append(np.ones(n, np.int64))
+        found.append(self.single[text].astype(np.int64))
+        at, k, token = np.concatenate(found_at), np.concatenate(found_size), np.concatenate(found)
+        order = np.argsort(at, kind="stable")  # sizes are already falling
+        at, k, token = at[order], k[order], token[order]
+        first = np.searchsorted(at, every)
+        count = np.diff(first, append=len(at))
+
+        last = np.full(n, -1, np.int64)
+        # A whole piece that is a token is that token.
+        for_end = first[ends - 1]
+        whole = k[for_end] == size
+        by_nth = np.argsort(nth, kind="stable")
+        bounds = np.searchsorted(nth[by_nth], np.arange(1, int(size.max()) + 2))
+        for e in range(1, int(size.max()) + 1):
+            now = by_nth[bounds[e - 1] : bounds[e]]
+            tried = 0
+            while len(now):
+                here = first[now] + tried
+                k_now, token_now = k[here], token[here]
+                start = now - k_now + 1
+                valid = (k_now == e) & ~self.odd[token_now]
+                inner = np.flatnonzero(k_now < e)
+                valid[inner] = self.pairs(last[start[inner] - 1], token_now[inner])
+                last_one = count[now] == tried + 1
+                valid |= last_one  # the byte itself
+                last[now[valid]] = token_now[valid]
+                now = now[~valid]
+                tried += 1
+        if (last < 0).any():
+            bad = int(text[np.flatnonzero(last < 0)[0]])
+            raise ValueError(f"the vocabulary has no token for byte {bytes([bad])!r}")
+        # Backwards from the end of every piece at once.
+        steps, where = [], ends - 1
+        alive = np.flatnonzero(~missed)
+        whole = whole[alive]
+        spot = where[alive]
+        while len(alive):
+            got = np.where(whole, token[for_end[alive]], last[spot])
+            steps.append((alive, got))
+            spot = spot - self.length[got]
+            on = spot >= (ends - size)[alive]
+            alive, spot, whole = alive[on], spot[on], np.zeros(int(on.sum()), bool)
+        held = np.zeros(len(pieces), np.int64)
+        for own, _ in steps:
+            held[own] += 1
+        out = np.zeros(int(held.sum()), np.int32)
+        place = np.cumsum(held) - 1
+        for own, got in steps:
+            out[place[own]] = got
+            place[own] -= 1
+        return out, held, np.flatnonzero(missed)
 
 
 class Encoder:
-    """The encoder of a worker: prefix tables behind a bounded cache of pieces."""
+    """The encoder of a worker: prefix tables behind a bounded memory of segments."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary.from_file(path)
-        self.cut = regex.compile(pattern)
-        self.pieces = PieceCache(self.vocabulary)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, piece = self.cut.findall, self.pieces.__getitem__
-        return [b"".join(map(piece, cut(text))) for text in texts]
+        self.tables = Tables(self.vocabulary)
+        self.segments = SegmentEncoder(regex.compile(pattern), self._pieces, CACHE_SEGMENTS)
+        tokens = [t or b"" for t in self.vocabulary.tokens]
+        self.tokens = pa.array(tokens, pa.binary())
+        self.unused = np.array([t is None for t in self.vocabulary.tokens], dtype=bool)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.tables.encode([p.encode("utf-8", "surrogatepass") for p in pieces])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        return self.segments.encode(texts)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of lists of ids that stand one after another."""
+        bad = (ids < 0) | (ids >= len(self.unused))
+        if not bad.any() and self.unused.any():
+            bad = self.unused[ids]
+        if bad.any():
+            raise ValueError(f"no token has id {int(ids[np.flatnonzero(bad)[0]])}")
+        taken = self.tokens.take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        byte_at = np.frombuffer(offsets, np.int32)[taken.offset : taken.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        bounds = byte_at[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.tobytes()), data])
 
 
 @lru_cache(maxsize=2)
@@ -233,7 +492,12 @@ def _tools(path: str, pattern: str) -> Encoder:
 
 
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
-    return np.frombuffer(_tools(path, pattern).encode([text])[0], dtype="<i4")
+    return _tools(path, pattern).encode(pa.array([text], pa.string()))[0]
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)), type=pa.list_(pa.field("element", pa.int32(), False)))
 
 
 def encode(
@@ -250,19 +514,12 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tools(path, pattern)
-        vocabulary = encoder.vocabulary
-        item = pa.field("element", pa.int32(), False)
         for whole in batches:
             for batch in text_slices(whole, at, 4 << 20):
-                found = encoder.encode(strings(batch.column(at)))
-                offsets = np.zeros(len(found) + 1, dtype=np.int32)
-                np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
-                flat = np.frombuffer(b"".join(found), dtype="<i4")
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=pa.list_(item))
-                columns = [*batch.columns, ids]
+                ids, counts = encoder.encode(batch.column(at))
+                columns = [*batch.columns, _lists(ids, counts)]
                 if decoded_col:
-                    back = [vocabulary.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    columns.append(pa.array(back, pa.binary()))
+                    columns.append(encoder.decode(ids, counts))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, ids_col, *([decoded_col] if decoded_col else [])])
 
     return docs.select(*names).mapInArrow(run, schema)
@@ -273,12 +530,14 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", decoded_col: str =
     rest = [f for f in rows.schema.fields if f.name.lower() != decoded_col.lower()]
     schema = T.StructType([*rest, T.StructField(decoded_col, T.BinaryType(), False)])
     names = [f.name for f in rest]
+    at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _tools(path, pattern).vocabulary
+        encoder = _tools(path, pattern)
         for batch in batches:
-            back = [vocabulary.decode(x or ()) for x in batch.column(names.index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*names, decoded_col])
+            counts = np.asarray(pc.fill_null(pc.list_value_length(batch.column(at)), 0), dtype=np.int64)
+            ids = np.asarray(pc.list_flatten(batch.column(at)).cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, encoder.decode(ids, counts)], names=[*names, decoded_col])
 
     return rows.select(*names).mapInArrow(run, schema)
 
