@@ -92,6 +92,11 @@ def test_quotas_under_cap():
     given = sample.quotas_of({"a": 30, "b": 30, "c": 30}, 76)
     assert given == {"a": 25, "b": 25, "c": 25}
     assert sample.quotas_of({}, 5) == {}
+    # Worked by hand: cap 5; first round 5, then round(10 * 12 / 60) = 2 and so on; the rest in further rounds.
+    assert sample.quotas_of({"a": 40, "b": 10, "c": 5, "d": 5}, 20) == {"a": 5, "b": 5, "c": 5, "d": 5}
+    # Round 1: b round(3 / 12 * 6) = 2, c round(9 / 12 * 4) = 3; round 2: b max(1, round(1 / 7 * 1)) = 1.
+    assert sample.quotas_of({"a": 0, "b": 3, "c": 9}, 6, 0.9) == {"a": 0, "b": 3, "c": 3}
+    assert sample.quotas_of({"a": 2, "b": 1}, 10) == {"a": 2, "b": 1}
     many = {f"d{i}": i + 1 for i in range(20)}
     got = sample.quotas_of(many, 60)
     assert sum(got.values()) <= 60 and all(got[k] <= many[k] and got[k] <= 15 for k in many)
@@ -122,6 +127,37 @@ def test_components_and_split(spark):
     assert sample.split_components(spark, keyed).count() == 2
 
 
+def test_components_of_string_ids(spark):
+    edges = [(f"legis_fac_{i:04d}", f"n{(i + k) % 40}") for i in range(40) for k in (0, 20)] + [(f"x{i}", "hub") for i in range(50)]
+    found = sample.components(spark.createDataFrame(edges, "item string, node string"), hot_parts=4)
+    want = {f"legis_fac_{i:04d}": f"legis_fac_{i % 20:04d}" for i in range(40)} | {f"x{i}": "x0" for i in range(50)}
+    assert {r["item"]: r["component"] for r in found.collect()} == want
+    keyed = sample.component_keys(found).withColumns({"stratum": F.lit("s"), "n": F.col("members")})
+    assert {r["side"] for r in sample.split_components(spark, keyed).collect()} == {"train", "test"}
+    assert sample.components(spark.createDataFrame([], "item string, node string")).count() == 0
+
+
+def test_split_stays_near_the_ratio(spark):
+    """Against the squared distances themselves, side by side."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, f"{i:03d}", s, rng.randint(1, 9)) for i in range(60) for s in "abc" if rng.random() < 0.6]
+    sides = {r["component"]: r["side"] for r in sample.split_components(spark, spark.createDataFrame(rows, "component long, component_key string, stratum string, n long"), 0.7, 3).collect()}
+    own = {}
+    for i, k, s, n in rows:
+        own.setdefault((k, i), {})[s] = n
+    order = sorted(own)
+    random.Random(3).shuffle(order)
+    seen, train = dict.fromkeys("abc", 0), dict.fromkeys("abc", 0)
+    for key in order:
+        cost = [sum(n * ((train[s] + n * x) / (seen[s] + n) - 0.7) ** 2 for s, n in own[key].items()) for x in (1, 0)]
+        assert sides[key[1]] == ("train" if cost[0] <= cost[1] else "test")
+        for s, n in own[key].items():
+            seen[s] += n
+            train[s] += n * (sides[key[1]] == "train")
+
+
 def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, f"n{i + k}") for i in range(60) for k in (0, 1)], "item long, node string")
     assert {r["component"] for r in sample.components(edges).collect()} == {0}
@@ -176,21 +212,75 @@ def test_published_gains(spark):
     assert gains == {"base": 187.3, "mistral": 64.3, "zero": None}
 
 
-def test_article_chunks():
-    rows = chunk.normative_chunks("Lei\nCAPÍTULO I\nArt. 1 x\n\n\nmais\nCAPÍTULO II\nArt. 2 y", "d", "lei.md")
+def chunked(spark, text, normative, compat=True, name="lei.md"):
+    docs = spark.createDataFrame([("d", name, text)], "domain string, name string, text string")
+    return sorted(chunk.chunk_documents(docs, F.lit(normative), compat).collect(), key=lambda r: r["chunk_index"])
+
+
+def test_article_chunks(spark):
+    rows = chunked(spark, "Lei\nCAPÍTULO I\nArt. 1 x\n\n\nmais\nCAPÍTULO II\nArt. 2 y", True)
     assert [r["hierarchy"] for r in rows] == [["CAPÍTULO II"], ["CAPÍTULO II"]]
     assert rows[0]["content"] == "Art. 1 x\n\nmais" and rows[0]["section_title"] == "Lei" and rows[0]["chunk_id"] == "d_lei_chunk_0001"
-    strict = chunk.normative_chunks("CAPÍTULO I\nArt. 1 x\nCAPÍTULO II\nArt. 2 y", "d", "lei.md", compat=False)
+    strict = chunked(spark, "CAPÍTULO I\nArt. 1 x\nCAPÍTULO II\nArt. 2 y", True, compat=False)
     assert [r["hierarchy"] for r in strict] == [["CAPÍTULO I"], ["CAPÍTULO II"]]
 
 
+def test_heading_paths(spark):
+    text = "\n".join(
+        ["Preâmbulo", "§ 1 não", "LIVRO I", "TÍTULO I", "Art. 1", "CAPÍTULO I", "Art. 2º - a", "Seção I", "Art. 3", "SUBSEÇÃO II", "Art. 4", "", "CAPÍTULO II", "", "fim", "Art. 5", "PARTE GERAL", "Art. 6"]
+    )
+    rows = chunked(spark, text, True, compat=False)
+    assert [r["hierarchy"] for r in rows] == [
+        ["LIVRO I", "TÍTULO I"],
+        ["LIVRO I", "TÍTULO I", "CAPÍTULO I"],
+        ["TÍTULO I", "CAPÍTULO I", "Seção I"],  # a section drops the book
+        ["TÍTULO I", "CAPÍTULO I", "SUBSEÇÃO II"],  # and a section in small letters isn't known again
+        ["TÍTULO I", "CAPÍTULO II"],
+        ["PARTE GERAL"],
+    ]
+    assert [r["section_title"] for r in rows] == ["Preâmbulo", *[""] * 5] and [r["article_ref"] for r in rows][:2] == ["Art. 1", "Art. 2º -"]
+    assert rows[3]["content"] == "Art. 4\n\nfim" and rows[0]["chunk_type"] == "normative_article"
+    late = chunked(spark, text, True)
+    assert [r["hierarchy"] for r in late] == [r["hierarchy"] for r in rows][1:] + [["PARTE GERAL"]]
+
+
+def test_items_stand_in_for_articles(spark):
+    rows = chunked(spark, "Edital\n1.1 Do objeto\nlinha\n1.2 do prazo\n1.2.1 Da vigência", True)
+    assert [(r["chunk_type"], r["article_ref"], r["content"]) for r in rows] == [
+        ("normative_item", "1.1 Do objeto", "1.1 Do objeto\nlinha\n1.2 do prazo"),
+        ("normative_item", "1.2.1 Da vigência", "1.2.1 Da vigência"),
+    ]
+    assert chunked(spark, "nothing\nopens", True) == []
+
+
+def test_documents_are_told_by_name(spark):
+    docs = spark.createDataFrame([("d", "x/lgpd.md", "Art. 1 x"), ("d", "y.md", "Art. 1 x")], "domain string, name string, text string")
+    assert sorted(r["chunk_type"] for r in chunk.chunk_documents(docs).collect()) == ["normative_article", "text"]
+
+
 def test_section_chunks_and_packing(spark):
-    rows = chunk.section_chunks("# Um\ntexto\n| a | b |\n|-|-|\n## Página 3\nfim", "d", "x.md")
+    rows = chunked(spark, "# Um\ntexto\n| a | b |\n|-|-|\n## Página 3\nfim", False)
     assert [(r["chunk_type"], r["section_title"]) for r in rows] == [("text", "Um"), ("table", "Um"), ("text", "Um")] and rows[1]["has_table"]
     doc = spark.createDataFrame([(1, "\n".join(["x" * 1000] * 3)), (2, None), (3, "")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["content"].count("x")) for r in chunk.pack_lines(doc).collect()) == [(1, 1000), (1, 2000)]
 
 
+def test_sections_tables_and_packs(spark):
+    text = "antes\n\n| a | b |\n| c | d |\n\n| e | f |\nx\n## Dois\n# Três\n" + "\n".join(["y" * 1000] * 3) + "\n|z|\n|sem"
+    rows = chunked(spark, text, False)
+    assert [(r["chunk_type"], r["section_title"], r["content"][:9], r["char_count"]) for r in rows] == [
+        ("text", None, "antes", 5),
+        ("table", None, "| a | b |", 19),
+        ("table", None, "| e | f |", 9),
+        ("text", None, "x", 1),
+        ("text", "Três", "y" * 9, 2002),
+        ("text", "Três", "y" * 9, 1000),
+        ("table", "Três", "|z|", 3),
+        ("text", "Três", "|sem", 4),
+    ]
+    assert [r["hierarchy"] for r in rows][3:5] == [[], ["Três"]]
+
+
 def test_failing_document_is_its_own_row(spark):
     docs = spark.createDataFrame([("d", "a.md", "Art. 1 x"), ("d", "b.md", None)], "domain string, name string, text string")
     rows = chunk.chunk_documents(docs, F.lit(True)).collect()

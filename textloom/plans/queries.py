@@ -185,25 +185,55 @@ def chunk_stats(spark, d):
 
 
 @query(
-    f"""WITH c AS (SELECT source, len(text) AS a, {WORDS_SQL} AS b FROM documents WHERE lang = 'es' AND source <> 'src1')
+    f"""WITH c AS (SELECT source, len(text) AS a, {WORDS_SQL} AS b FROM documents)
 SELECT f.source, count(c.source) AS n_chunks, round(coalesce(avg(a), 0), 2) AS avg_chars, round(coalesce(avg(b), 0), 2) AS avg_words
 FROM (SELECT DISTINCT source FROM documents) f LEFT JOIN c USING (source) GROUP BY f.source"""
 )
 def chunk_report(spark, d):
-    chunks = chunk.with_chunk_stats(docs(spark, d).filter("lang = 'es' AND source <> 'src1'"), "text")
+    chunks = chunk.with_chunk_stats(docs(spark, d), "text")
     return chunk.chunk_report(docs(spark, d), chunks, "source")
 
 
-@query()
+#: Lines of documents with headings and article marks in set places.
+HEADED_SQL = f"""{LINE_SQL}, x AS (SELECT doc_id, pos, CASE WHEN pos % 8 = 2 THEN 'TÍTULO I' WHEN pos % 8 = 4 THEN 'CAPÍTULO II' WHEN pos % 16 = 6 THEN 'SEÇÃO III'
+  WHEN pos % 16 = 14 THEN 'SUBSEÇÃO I' WHEN pos % 32 = 0 THEN 'LIVRO I' WHEN pos % 32 = 16 THEN 'PARTE GERAL' WHEN pos % 8 = 3 OR pos % 8 = 5 THEN trim('Art. ' || pos || ' ' || line) ELSE line END AS x FROM lines),
+k AS (SELECT *, CASE WHEN pos % 8 = 2 THEN 1 WHEN pos % 8 = 4 THEN 2 WHEN pos % 8 = 6 THEN 3 WHEN pos % 16 = 0 THEN 0 END AS rank, pos % 8 = 3 OR pos % 8 = 5 AS opens FROM x)"""
+
+
+@query(
+    f"""WITH {HEADED_SQL}, n AS (SELECT doc_id, max(pos) + 1 AS last FROM k GROUP BY doc_id),
+h AS (SELECT a.doc_id, a.pos, a.x, coalesce(min(b.pos) FILTER (WHERE NOT CASE b.rank WHEN 0 THEN false WHEN 1 THEN a.rank = 0 WHEN 2 THEN a.rank < 2 ELSE a.rank = 2 OR a.rank = 1 OR a.x = 'PARTE GERAL' END), 1 << 30) AS until
+  FROM k a LEFT JOIN k b ON b.doc_id = a.doc_id AND b.rank IS NOT NULL AND b.pos > a.pos WHERE a.rank IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, pos, x, coalesce(lead(pos) OVER w, last) AS next, row_number() OVER w AS nth FROM k JOIN n USING (doc_id) WHERE opens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT s.doc_id, s.nth, trim(regexp_replace(string_agg(k.x, chr(10) ORDER BY k.pos), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS content
+  FROM s JOIN k ON k.doc_id = s.doc_id AND k.rank IS NULL AND k.pos >= s.pos AND k.pos < s.next GROUP BY ALL),
+p AS (SELECT s.doc_id, s.nth, coalesce(list(h.x ORDER BY h.pos) FILTER (WHERE h.x IS NOT NULL), []) AS hierarchy FROM s LEFT JOIN h ON h.doc_id = s.doc_id AND h.pos < s.next AND h.until > s.next GROUP BY ALL),
+t AS (SELECT doc_id, arg_max(x, pos) AS title FROM k WHERE pos = 1 AND x <> '' AND len(x) < 100 AND NOT regexp_matches(x, '^(§|[(]|I )') GROUP BY doc_id)
+SELECT printf('d_%d_chunk_%04d', doc_id, nth) AS chunk_id, {STRIP_SQL.format("regexp_extract(x, '^Art[.] [0-9]+[A-Za-z0-9.ºª°-]*[ ]*[-–—.]?')")} AS article_ref, hierarchy,
+  CASE WHEN nth = 1 THEN coalesce(title, '') ELSE '' END AS section_title, content FROM s JOIN c USING (doc_id, nth) JOIN p USING (doc_id, nth) LEFT JOIN t USING (doc_id)"""
+)
 def heading_hierarchy(spark, d):
-    named = docs(spark, d).select(F.col("lang").alias("domain"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text")
-    marked = named.withColumn("text", F.regexp_replace("text", r"(?m)^(\S+) (\S+)", "Art. 1 $1 $2"))
-    return chunk.chunk_documents(marked, F.lit(True)).select("chunk_id", "article_ref", "hierarchy", "section_title", "content")
+    def headed(line, i):
+        pos = i + 1
+        article = F.trim(F.concat(F.lit("Art. "), pos.cast("string"), F.lit(" "), tx.strip(line)))
+        return (
+            F.when(pos % 8 == 2, "TÍTULO I").when(pos % 8 == 4, "CAPÍTULO II").when(pos % 16 == 6, "SEÇÃO III").when(pos % 16 == 14, "SUBSEÇÃO I")
+            .when(pos % 32 == 0, "LIVRO I").when(pos % 32 == 16, "PARTE GERAL").when((pos % 8 == 3) | (pos % 8 == 5), article).otherwise(line)
+        )
 
+    text = F.array_join(F.transform(F.split("text", "\n"), headed), "\n")
+    named = docs(spark, d).select(F.lit("d").alias("domain"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), text.alias("text"))
+    return chunk.chunk_documents(named, F.lit(True)).select("chunk_id", "article_ref", "hierarchy", "section_title", "content")
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE {LINE_SQL}, l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, len(line) + 2 AS k FROM lines WHERE line <> ''),
+p AS (SELECT doc_id, n, 0 AS part, k AS size, k FROM l WHERE n = 1 UNION ALL SELECT l.doc_id, l.n, p.part + CAST(p.size >= 1800 AS INT), CASE WHEN p.size >= 1800 THEN l.k ELSE p.size + l.k END, l.k
+  FROM p JOIN l ON l.doc_id = p.doc_id AND l.n = p.n + 1)
+SELECT doc_id, CAST(part AS BIGINT) AS part, CAST(sum(k) - 2 AS BIGINT) AS n FROM p GROUP BY doc_id, part"""
+)
 def pack_lines(spark, d):
-    return chunk.pack_lines(docs(spark, d)).select("doc_id", "part", F.length("content").alias("n"))
+    return chunk.pack_lines(docs(spark, d)).select("doc_id", F.col("part").cast("long").alias("part"), F.length("content").cast("long").alias("n"))
 
 
 # --- Joins -----------------------------------------------------------------------------------------------------------
@@ -392,11 +422,11 @@ def grounding(spark, d):
 
 
 @query(
-    f"""WITH {ITEMS_SQL}, c AS (SELECT id, resposta_referencia AS a, [pergunta, substr(resposta_referencia, 1, 80)] AS cs FROM items),
+    f"""WITH {ITEMS_SQL}, c AS (SELECT id, resposta_referencia AS a, [pergunta, resposta_referencia] AS cs FROM items),
 e AS (SELECT id, a, unnest(cs) AS ch FROM c) SELECT id, count(*) FILTER (WHERE {_ground('a', 'ch')} > 0.15) <= 1 AS single FROM e GROUP BY id"""
 )
 def single_source(spark, d):
-    chunks = F.array(F.col("pergunta"), F.substring("resposta_referencia", 1, 80))
+    chunks = F.array("pergunta", "resposta_referencia")
     return items(spark, d).select("id", tx.single_source(F.col("resposta_referencia"), chunks).alias("single"))
 
 
@@ -420,15 +450,15 @@ def audit_summary(spark, d):
 TOKEN = "[a-z]{4,}"
 
 
-def _vectors(spark, d, max_features=400):
+def _vectors(spark, d):
     pool = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("block"), "text", F.concat(F.lit("s"), (F.col("item_id") % 3).cast("string")).alias("source"))
-    return pool, similarity.tfidf(pool, "id", "block", "text", ngram=2, max_features=max_features, token=TOKEN)
+    return pool, similarity.tfidf(pool, "id", "block", "text", ngram=2, max_features=4096, token=TOKEN)
 
 
 VECTORS_SQL = f"""w AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS ws FROM benchmark),
 grams AS (SELECT id, unnest(ws) AS term FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
 counts AS (SELECT id, term, count(*) AS tf FROM grams GROUP BY ALL),
-vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term ORDER BY total DESC, term LIMIT 400),
+vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term ORDER BY total DESC, term LIMIT 4096),
 raw AS (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + df)) + 1) AS x FROM counts JOIN vocab USING (term)),
 vectors AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM raw),
 pairs AS (SELECT a.id AS id_a, b.id AS id_b, sum(a.weight * b.weight) AS similarity FROM vectors a JOIN vectors b ON a.term = b.term AND a.id < b.id GROUP BY ALL)"""
@@ -463,7 +493,7 @@ def similar_neighbours(spark, d):
 
 @query()
 def near_dedup(spark, d):
-    pairs = similarity.cosine_pairs(_vectors(spark, d, max_features=4096)[1], 0.2)
+    pairs = similarity.cosine_pairs(_vectors(spark, d)[1], 0.2)
     gone = clean.near_dedup(pairs.withColumn("ord", F.col("id_a") * 1_000_000 + F.col("id_b")))
     return spark.createDataFrame([(int(a), int(b)) for a, b in sorted(gone.items())], "id long, because long")
 
@@ -494,11 +524,11 @@ def rouge_l(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE label < 3), p AS (SELECT a.vec_id AS id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim
+    """WITH e AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id AS id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim
 FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT id, round(max(sim), 4) AS sim, count(*) > 1 AS chunked FROM p GROUP BY id"""
 )
 def window_max_cosine(spark, d):
-    e = table(spark, d, "embeddings").filter("label < 3").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
     a = e.select(F.col("vec_id").alias("id"), "label", F.col("v").alias("a"))
     b = e.select(F.col("vec_id").alias("o"), "label", F.col("v").alias("b"))
@@ -877,11 +907,11 @@ def page_window(spark, d):
 # --- Model calls and resumption --------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT *, coalesce(text, '') AS resposta_gerada, coalesce(text, '') <> '' AS parse_ok, CAST(NULL AS VARCHAR) AS error FROM benchmark")
 def score_stub(spark, d):
     from ..sources.io import score
 
     def make():
-        return lambda row: {"resposta_gerada": (row["text"] or "")[:40], "parse_ok": bool(row["text"])}
+        return lambda row: {"resposta_gerada": row["text"] or "", "parse_ok": bool(row["text"])}
 
     return score(table(spark, d, "benchmark"), make, "resposta_gerada string, parse_ok boolean").drop("latency_s")
