@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import chunk, clean, joins, judge, report, sample
+from textloom.operators import chunk, clean, joins, judge, report, sample, similarity
 from textloom.plans import queries
 from textloom.sources import io
 
@@ -109,7 +109,50 @@ def test_exact_dup_flags(spark):
 
 def test_near_dedup_chain(spark):
     pairs = spark.createDataFrame([(1, "a", "b", 0.9), (2, "b", "c", 0.9)], "ord long, id_a string, id_b string, similarity double")
-    assert set(clean.near_dedup(pairs)) == {"b"}
+    assert [tuple(r) for r in clean.near_dedup(pairs).collect()] == [("b", "a")]
+    lost = spark.createDataFrame([("a",)], "id string")
+    assert sorted(tuple(r) for r in clean.near_dedup(pairs, lost).collect()) == [("a", "b"), ("c", "b")]
+
+
+def test_near_dedup_takes_pairs_in_order(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, f"i{rng.randrange(30)}", f"i{rng.randrange(30)}") for k in range(60)]
+    gone = {}
+    for _, a, b in rows:
+        if a not in gone:
+            gone[b] = a
+    got = clean.near_dedup(spark.createDataFrame(rows, "ord long, id_a string, id_b string"))
+    assert {r["id"]: r["because"] for r in got.collect()} == gone
+
+
+def test_running_numbers_over_ranges(spark):
+    rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 5 > 0, "a").when(F.col("id") % 5 == 0, F.lit(None)).alias("s"), F.lit("x").alias("t"), (-F.col("id")).alias("o"))
+    got = {r["id"]: r["n"] for r in sample.running_number(rows.repartition(7), ["s", "t"], ["o"], "n").collect()}
+    for keep in (lambda i: i % 5 > 0, lambda i: i % 5 == 0):
+        ids = sorted(filter(keep, range(5000)), reverse=True)
+        assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
+
+
+def test_cosine_pairs_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    vectors = []
+    for i in range(40):
+        own = {t: rng.random() for t in rng.sample("abcdefghijklmnop", rng.randint(1, 9))}
+        size = sum(x * x for x in own.values()) ** 0.5
+        vectors += [("b", i, t, x / size) for t, x in own.items()]
+    frame = spark.createDataFrame(vectors, "block string, id long, term string, weight double")
+    by = {}
+    for _, i, t, x in vectors:
+        by.setdefault(i, {})[t] = x
+    dots = {(i, j): sum(x * by[j].get(t, 0) for t, x in by[i].items()) for i in by for j in by if i < j}
+    for least in (0.2, 0.6, 0.9):
+        got = {(r["id_a"], r["id_b"]): r["similarity"] for r in similarity.cosine_pairs(frame, least).collect()}
+        want = {k: v for k, v in dots.items() if v >= least}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_clean_partition_precedence(spark):

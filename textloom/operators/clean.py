@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .sample import components, running_number
 
 
 def dup_key(text: str | Column) -> Column:
@@ -32,18 +33,37 @@ def exact_dedup(items: DataFrame, text: str = "pergunta", order: str = "ord", id
     return keyed.join(first, "_key").withColumn("dup_of", own).drop("_key", "_f")
 
 
-def near_dedup(pairs: DataFrame, removed: set | None = None) -> dict:
-    """Removal reasons from ordered pairs (ord, id_a, id_b, similarity): of a pair whose first member stays the second goes.
+def near_dedup(pairs: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """(id, because) from ordered pairs (ord, id_a, id_b): of a pair whose first member stays the second goes.
 
-    The outcome depends on the order of pairs, of which an audit leaves few; they go to the driver one by one.
+    ``removed`` has ids that are gone for other reasons; of a pair with such a first
+    member, the first goes because of the second unless it has a reason already.  What
+    happens to a pair depends only on earlier pairs that it is connected with, so each
+    connected group of pairs is taken in order by itself.
     """
-    gone: dict = {}
-    for a, b in pairs.orderBy("ord").select("id_a", "id_b").toLocalIterator():
-        if a not in gone and a not in (removed or ()):
-            gone[b] = a
-        else:
-            gone.setdefault(a, b)
-    return gone
+    kind = pairs.schema["id_a"].dataType.simpleString()
+    own = pairs.select("ord", "id_a", "id_b")
+    ends = F.explode(F.array("id_a", "id_b")).alias("node")
+    groups = components(own.select(F.struct("ord", "id_a", "id_b").alias("item"), ends))
+    own = own.withColumn("item", F.struct("ord", "id_a", "id_b")).join(groups, "item").drop("item")
+    if removed is None:
+        own = own.withColumn("out", F.lit(False))
+    else:
+        lost = removed.select(F.col(removed.columns[0]).alias("id_a")).distinct().withColumn("_r", F.lit(True))
+        own = own.join(lost, "id_a", "left").withColumn("out", F.coalesce("_r", F.lit(False))).drop("_r")
+
+    def take(pdf):
+        reasons: dict = {}
+        for _, first, second, out in sorted(zip(pdf["ord"], pdf["id_a"], pdf["id_b"], pdf["out"], strict=True)):
+            if first in reasons:
+                continue
+            if out:
+                reasons[first] = second
+            else:
+                reasons[second] = first
+        return pd.DataFrame({"id": list(reasons), "because": list(reasons.values())})
+
+    return own.groupBy("component").applyInPandas(take, f"id {kind}, because {kind}")
 
 
 #: The order in which reasons win.
@@ -61,8 +81,8 @@ def kept_by_stratum(items: DataFrame) -> DataFrame:
 
 def renumber(items: DataFrame, order: str = "ord", id_col: str = "id") -> DataFrame:
     """Adds ``new_id``: stratum and running number (of at least four digits) in file order."""
-    nth = F.row_number().over(W.partitionBy("dominio", "nivel_dificuldade").orderBy(order, id_col))
-    return items.withColumn("new_id", F.concat_ws("_", "dominio", "nivel_dificuldade", F.format_string("%04d", nth)))
+    numbered = running_number(items, ["dominio", "nivel_dificuldade"], [order, id_col], "_nth")
+    return numbered.withColumn("new_id", F.concat_ws("_", "dominio", "nivel_dificuldade", F.format_string("%04d", "_nth"))).drop("_nth")
 
 
 def validation_stamp(items: DataFrame, approvers: str = "validado_por") -> DataFrame:

@@ -44,10 +44,23 @@ def tfidf(
 
 
 def cosine_pairs(vectors: DataFrame, min_sim: float, inclusive: bool = True) -> DataFrame:
-    """(block, id_a, id_b, similarity) for pairs with a term in common, id_a < id_b."""
-    a = vectors.select("block", "term", F.col("id").alias("id_a"), F.col("weight").alias("_x"))
-    b = vectors.select("block", "term", F.col("id").alias("id_b"), F.col("weight").alias("_y"))
-    sims = a.join(b, ["block", "term"]).filter("id_a < id_b").groupBy("block", "id_a", "id_b").agg(F.sum(F.col("_x") * F.col("_y")).alias("similarity"))
+    """(block, id_a, id_b, similarity) for pairs with a term in common, id_a < id_b.
+
+    With terms in order of rarity, a vector's product with any other over its last terms
+    is at most the length of these.  So vectors as near as ``min_sim`` meet in a term
+    before the tail that is shorter than that: only such terms bring pairs together, and
+    the frequent ones, which nearly all vectors share, don't.
+    """
+    rarity = vectors.groupBy("block", "term").agg(F.count(F.lit(1)).alias("_df"))
+    tail = F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("block", "id").orderBy("_df", "term").rowsBetween(0, W.unboundedFollowing))
+    head = vectors.join(rarity, ["block", "term"]).withColumn("_t", F.sqrt(tail)).filter(F.col("_t") >= min_sim - 1e-9)
+    a = head.select("block", "term", F.col("id").alias("id_a"))
+    b = head.select("block", "term", F.col("id").alias("id_b"))
+    met = a.join(b, ["block", "term"]).filter("id_a < id_b").select("block", "id_a", "id_b").distinct()
+    x = vectors.select("block", "term", F.col("id").alias("id_a"), F.col("weight").alias("_x"))
+    y = vectors.select("block", "term", F.col("id").alias("id_b"), F.col("weight").alias("_y"))
+    both = met.join(x, ["block", "id_a"]).join(y, ["block", "id_b", "term"])
+    sims = both.groupBy("block", "id_a", "id_b").agg(F.sum(F.col("_x") * F.col("_y")).alias("similarity"))
     return sims.filter(F.col("similarity") >= min_sim if inclusive else F.col("similarity") > min_sim)
 
 

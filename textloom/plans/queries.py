@@ -491,11 +491,16 @@ def similar_neighbours(spark, d):
     return out.select("id", "other", F.col("cross").alias("crosses"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {VECTORS_SQL}, p AS (SELECT id_a AS a, id_b AS b, row_number() OVER (ORDER BY id_a * 1000000 + id_b) AS k FROM pairs WHERE similarity >= 0.2),
+f AS (SELECT CAST(0 AS BIGINT) AS k, MAP([]::BIGINT[], []::BIGINT[]) AS gone
+  UNION ALL SELECT p.k, CASE WHEN map_contains(gone, p.a) THEN gone ELSE map_concat(gone, MAP([CAST(p.b AS BIGINT)], [CAST(p.a AS BIGINT)])) END FROM f JOIN p ON p.k = f.k + 1),
+e AS (SELECT unnest(map_entries(gone)) AS x FROM f WHERE k = (SELECT max(k) FROM f)) SELECT x.key AS id, x.value AS because FROM e"""
+)
 def near_dedup(spark, d):
     pairs = similarity.cosine_pairs(_vectors(spark, d)[1], 0.2)
     gone = clean.near_dedup(pairs.withColumn("ord", F.col("id_a") * 1_000_000 + F.col("id_b")))
-    return spark.createDataFrame([(int(a), int(b)) for a, b in sorted(gone.items())], "id long, because long")
+    return gone.select(F.col("id").cast("long").alias("id"), F.col("because").cast("long").alias("because"))
 
 
 @query()
