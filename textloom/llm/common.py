@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import gc
-import re
 import tempfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +55,27 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def apart(docs: DataFrame, own: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns renamed whose names are among an operator's ``own`` (letter case aside), and the new names by the old.
+
+    ``withColumnsRenamed`` by the reverse of it gives a result its names back.
+    """
+    reserved = {x.lower() for x in own}
+    taken, renamed = reserved | {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in reserved:
+            new = c
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            renamed[c] = new
+    return (docs.withColumnsRenamed(renamed) if renamed else docs), renamed
+
+
+def named_back(found: DataFrame, renamed: dict[str, str]) -> DataFrame:
+    return found.withColumnsRenamed({new: old for old, new in renamed.items()}) if renamed else found
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (a null id hashes as the empty text)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -110,89 +130,3 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) ->
         if end > start:
             yield batch.slice(start, end - start)
         start = end
-
-
-class Memo(dict):
-    """Numbers keys in the order they come; ``values`` has what belongs to them, None for those in ``fresh``.
-
-    Asking for a key always gives a number, so a batch of keys is looked up in one
-    pass and the values of the new ones are filled in after it.  :meth:`turn`, called
-    between batches, keeps the size bounded: beyond ``most`` keys or ``most_bytes``
-    of keys, those that aren't asked for until the next time go.
-    """
-
-    def __init__(self, most: int, most_bytes: int = 32 << 20):
-        self.most, self.most_bytes, self.held = most, most_bytes, 0
-        self.values_, self.fresh = [], []
-        self.old, self.old_values = {}, []
-
-    def __missing__(self, key: str) -> int:
-        at = len(self.values_)
-        self[key] = at
-        self.held += len(key)
-        before = self.old.get(key)
-        if before is None:
-            self.fresh.append(key)
-            self.values_.append(None)
-        else:
-            self.values_.append(self.old_values[before])
-        return at
-
-    def fill(self, values: list) -> None:
-        """Gives the fresh keys their values."""
-        for key, value in zip(self.fresh, values, strict=True):
-            self.values_[self[key]] = value
-        self.fresh = []
-
-    def turn(self) -> None:
-        if len(self) >= self.most or self.held >= self.most_bytes:
-            self.old, self.old_values = dict(self), self.values_
-            self.clear()
-            self.values_, self.held = [], 0
-
-
-#: A space beside other white space.
-_CROWDED = re.compile(r"\s | \s")
-
-
-def spaced(text: str) -> tuple[str, list[str]] | None:
-    """What stands before the first space, and what stands behind each; None if white space adjoins a space.
-
-    Patterns that cut a text into pieces and let a piece begin with one space, but
-    hold no other after its first character, cut before each lone space: the parts
-    can be cut one by one.
-    """
-    if _CROWDED.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return first, rest
-
-
-class TextEncoder:
-    """Encodes batches of texts through memos of words and pieces.
-
-    ``encode_pieces`` gives the ids (bytes of 32-bit integers) of pieces that no memo
-    has.  The pattern ``cut`` must cut before every lone space.
-    """
-
-    def __init__(self, cut, encode_pieces: Callable[[list[str]], list[bytes]], most: int):
-        self.cut, self.encode_pieces = cut, encode_pieces
-        self.words, self.pieces = Memo(most), Memo(most)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words, pieces, findall = self.words, self.pieces, self.cut.findall
-        word, piece = words.__getitem__, pieces.__getitem__
-        rows = []
-        for text in texts:
-            parts = spaced(text)
-            first, rest = parts if parts else (text, ())
-            rows.append((list(map(piece, findall(first))), list(map(word, rest))))
-        own = [list(map(piece, findall(" " + w))) for w in words.fresh]
-        pieces.fill(self.encode_pieces(pieces.fresh))
-        ids = pieces.values_.__getitem__
-        words.fill([b"".join(map(ids, x)) for x in own])
-        word_ids = words.values_.__getitem__
-        out = [b"".join([*map(ids, head), *map(word_ids, rest)]) for head, rest in rows]
-        words.turn()
-        pieces.turn()
-        return out

@@ -80,7 +80,7 @@ class SegmentEncoder:
     are remembered, and ``most_chars`` their characters.
     """
 
-    def __init__(self, cut, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int, most_chars: int = 8 << 20):
+    def __init__(self, cut, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int, most_chars: int = 16 << 20):
         self.cut, self.encode_pieces = cut, encode_pieces
         self.most, self.most_chars = most, most_chars
         self._forget()

@@ -30,56 +30,86 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TextEncoder, checkpoint_root, text_slices
+from .common import checkpoint_root, text_slices
+from .segments import PLAIN, SegmentEncoder, gather, spans
 
+#: A space and a word of letters alone.
+SPACED = PLAIN.replace("^", "^ ", 1)
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-CACHE_PIECES = 150_000
+#: Segments that a worker remembers, and new pieces that the tokenizer gets as one text.
+CACHE_SEGMENTS = 500_000
+JOINED = 100
 
 
 @lru_cache(maxsize=2)
 def _tools(path: str, pattern: str) -> tuple:
-    """The memos of pieces, the tokenizer itself and the strings of its added tokens."""
+    """The memory of segments, the tokenizer itself and the strings of its added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
+    # In a byte-level vocabulary every character of a token stands for one byte.
+    vocabulary = tokenizer.get_vocab()
+    width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, rank in vocabulary.items():
+        width[rank] = len(token)
+
+    def joined(pieces: list[str]) -> list[int]:
+        """Ids of pieces that each begin with the only space in them, so that the tokenizer cuts them apart itself."""
+        texts = ["".join(pieces[at : at + JOINED]) for at in range(0, len(pieces), JOINED)]
+        return [i for part in tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in part.ids]
+
+    def alone(pieces: list[str]) -> list[int]:
+        return tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False).ids
+
+    def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        listed = pa.array(pieces, pa.string())
+        size = np.asarray(pc.binary_length(listed), dtype=np.int64)
+        plain = np.asarray(pc.match_substring_regex(listed, SPACED), dtype=bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         out = []
-        for at in range(0, len(pieces), 50_000):
-            part = pieces[at : at + 50_000]
-            encoded = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.asarray(encoded.ids, dtype="<i4").tobytes()
-            ends = (np.cumsum(np.bincount(np.asarray(encoded.word_ids, dtype=np.int64), minlength=len(part))) * 4).tolist()
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return out
+        for way, own in ((joined, order[: int(plain.sum())]), (alone, order[int(plain.sum()) :])):
+            for at in range(0, len(own), 50_000):
+                out.append(np.array(way([pieces[i] for i in own[at : at + 50_000].tolist()]), dtype=np.int32))
+        ids = np.concatenate([np.zeros(0, np.int32), *out])
+        # No token reaches beyond its piece, so the bytes tell where each piece ends.
+        held = np.diff(np.searchsorted(np.cumsum(width[ids]), np.cumsum(size[order]), side="right"), prepend=0)
+        counts, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        counts[order], starts[order] = held, np.cumsum(held) - held
+        return gather(ids, starts, counts), counts
 
-    return TextEncoder(regex.compile(pattern), encode_pieces, CACHE_PIECES), tokenizer, added
+    return SegmentEncoder(regex.compile(pattern), encode_pieces, CACHE_SEGMENTS), tokenizer, added
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text.
+def encode_texts(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, and how many each has.
 
     The tokenizer cuts texts by ``pattern`` and encodes each piece alone, so it
-    is given every piece that this worker doesn't remember, once.  Texts that hold
-    an added token it cuts and encodes as a whole.
+    is given every piece that this worker doesn't remember, once for a batch.  Texts
+    that hold an added token it cuts and encodes as a whole.
     """
     encoder, tokenizer, added = _tools(path, pattern)
-    whole = {i for i, text in enumerate(texts) if any(t in text for t in added)}
-    if not whole:
+    special = np.zeros(len(texts), bool)
+    for token in added:
+        special |= np.asarray(pc.fill_null(pc.match_substring(texts, token), False))
+    if not special.any():
         return encoder.encode(texts)
-    rest = iter(encoder.encode([text for i, text in enumerate(texts) if i not in whole]))
-    return [
-        np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes() if i in whole else next(rest)
-        for i, text in enumerate(texts)
-    ]
+    flat, rest = encoder.encode(texts.filter(pa.array(~special)))
+    whole = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype=np.int32) for x in texts.filter(pa.array(special)).to_pylist()]
+    counts = np.zeros(len(texts), np.int64)
+    counts[~special], counts[special] = rest, [len(x) for x in whole]
+    starts = np.zeros(len(texts), np.int64)
+    starts[~special] = np.cumsum(rest) - rest
+    starts[special] = len(flat) + np.cumsum(counts[special]) - counts[special]
+    return gather(np.concatenate([flat, *whole]), starts, counts), counts
 
 
 def write(
@@ -108,17 +138,16 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         item = pa.field("element", pa.int32(), False)
-        end = np.asarray([end_id], dtype="<i4").tobytes()
         for whole in batches:
-            for batch in text_slices(whole, 2):
-                raw = encode_texts(batch.column(2).to_pylist(), path, pattern)
-                sizes = np.asarray([len(x) // 4 + 1 for x in raw], dtype=np.int64)
-                offsets = np.zeros(len(raw) + 1, dtype=np.int32)
-                np.cumsum(sizes, out=offsets[1:])
-                flat = np.frombuffer(b"".join([x + end for x in raw]), dtype="<i4")
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=pa.list_(item))
+            for batch in text_slices(whole, 2, 4 << 20):
+                ids, counts = encode_texts(batch.column(2), path, pattern)
+                sizes = counts + 1
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                flat = np.full(int(offsets[-1]), end_id, np.int32)
+                flat[spans(offsets[:-1], counts)] = ids
+                tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), type=pa.list_(item))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(offsets[:-1].astype(np.int64) + start), pa.array(sizes), tokens],
+                    [batch.column(0), batch.column(1), pa.array(offsets[:-1] + start), pa.array(sizes), tokens],
                     names=["id", "part", "local_start", "n_tokens", "tokens"],
                 )
                 start += int(offsets[-1])
