@@ -18,8 +18,8 @@ id (it is kept only if its group has no other); rows repeated as a whole stay
 separate rows of one group, each with the same ``keep_id``, and exactly the rows
 that carry ``keep_id`` are kept (``kept``); for one survivor among repeats of one
 id use :func:`survivors`.  An empty table gives an empty result.  Extra columns
-pass through untouched; the operator's own columns win over columns of the same
-name.
+pass through untouched, whatever their names; only the four result columns win over
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import apart, cut, named_back
 
 HOT_PARTS = 4096
+#: Names of columns that stand beside those of the documents on the way.
+_OWN = ("_h128", "_sha", "_keep", "_size", "_texts", "_hk", "_hs", "_key", "_csha", "_ck", "_cs", "_text", "_tk", "_ts", "_nth", "_id")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -52,6 +54,8 @@ def exact_dedup(
     hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """Adds keep_id, group_size, kept and text_sha256 to every row of ``docs``."""
+    docs, renamed = apart(docs, _OWN)
+    id_col, text_col = renamed.get(id_col, id_col), renamed.get(text_col, text_col)
     found = groups(docs, id_col, text_col, keep)
     slim = cut(found.select("_h128", "_sha", "_keep", "_size"))
     total = slim.agg(F.sum("_size")).first()[0] or 0
@@ -92,13 +96,14 @@ def exact_dedup(
         lost = joined.filter(F.col("_size").isNull()).drop("_keep", "_size").withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
         exact = lost.join(by_text, "_text").select(*rest, "_sha", F.col("_tk").alias("_keep"), F.col("_ts").alias("_size"))
         joined = joined.filter(F.col("_size").isNotNull()).unionByName(exact)
-    return joined.select(
+    found = joined.select(
         *rest,
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
         F.col(id_col).eqNullSafe(F.col("_keep")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+    return named_back(found, renamed)
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -107,6 +112,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     The join is on id and hashes together, so a hot text spreads over all tasks by
     its ids.  Hashes stand for texts here once it is known that no two texts share both.
     """
+    docs, renamed = apart(docs, (*_OWN, "keep_id", "group_size", "kept", "text_sha256", "count"))
+    id_col, text_col = renamed.get(id_col, id_col), renamed.get(text_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     hashes = [F.md5(text).alias("_h128"), F.sha2(text, 256).alias("_sha")]
     slim = cut(groups(docs, id_col, text_col, keep).select("_h128", "_sha", F.col("_keep").alias("_id")))
@@ -123,4 +130,4 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     if repeats:  # rows that repeat id and text: any one of them stays
         nth = F.row_number().over(W.partitionBy(id_col, "_sha", text_col).orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)]))
         stay = stay.withColumn("_nth", nth).filter("_nth = 1")
-    return stay.select(*docs.columns)
+    return named_back(stay.select(*docs.columns), renamed)
