@@ -24,8 +24,9 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,66 +67,131 @@ ENDS = {
 BOUND = {"article", "aside", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "td", "li", "blockquote", "figure"}
 
 
+class Node:
+    """An open element: its parent, and the features that no element around it has."""
+
+    __slots__ = ("fresh", "inside", "parent")
+
+    def __init__(self, parent: Node | None, fresh: tuple[str, ...], inside: bool):
+        self.parent, self.fresh, self.inside = parent, fresh, inside
+
+    def features(self) -> list[str]:
+        """The features of the element and of all around it, each once."""
+        out, at = [], self
+        while at:
+            out += at.fresh
+            at = at.parent
+        return out
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # features of the ancestors
+    path: Node | None  # the innermost element around it
     tag: str
     text: str
     linked: int
 
 
-def _node(tag: str, attrs: str) -> tuple[str, ...]:
+def _names(tag: str, attrs: str) -> list[str]:
     out = [f"a:{tag}"]
     if "=" in attrs:
         for _, *values in ATTRIBUTE.findall(attrs):
             for word in WORD.findall(next((v for v in values if v), "")):
                 out.append(f"c:{word.lower()}")
-    return tuple(out)
+    return out
+
+
+class _Open:
+    """The elements that are open, with the places of each kind, so that no tag makes a walk through all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Node, list[str]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.held: dict[str, int] = {}
+        self.blocks: list[str] = []
+        self.hidden = 0
+
+    def __len__(self) -> int:
+        return len(self.stack)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost of these, or -1."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    @property
+    def node(self) -> Node | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def push(self, tag: str, attrs: str) -> None:
+        names = _names(tag, attrs)
+        fresh = tuple(dict.fromkeys(f for f in names if not self.held.get(f)))
+        for f in names:
+            self.held[f] = self.held.get(f, 0) + 1
+        parent = self.node
+        inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, Node(parent, fresh, inside), names))
+        if tag in BLOCK:
+            self.blocks.append(tag)
+        self.hidden += tag in HIDDEN
+
+    def pop(self) -> None:
+        tag, _, names = self.stack.pop()
+        self.places[tag].pop()
+        for f in names:
+            self.held[f] -= 1
+        if tag in BLOCK:
+            self.blocks.pop()
+        self.hidden -= tag in HIDDEN
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """The leaf blocks of a page in order; the time is in proportion to its length, however broken it is."""
+    opened = _Open()
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    hidden = 0
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text and not hidden:
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-            out.append(Block(tuple(f for _, own in stack for f in own), tag, text, min(linked, len(text))))
-        parts.clear()
+        if parts:
+            text = " ".join("".join(parts).split())
+            if text and not opened.hidden:
+                out.append(Block(opened.node, opened.blocks[-1] if opened.blocks else "", text, min(linked, len(text))))
+            parts.clear()
         linked = 0
 
     def close_to(depth: int) -> None:
-        nonlocal hidden
-        if any(t in BLOCK or t in HIDDEN for t, _ in stack[depth:]):
+        if any(t in BLOCK or t in HIDDEN for t, _, _ in opened.stack[depth:]):
             flush()
-        for t, _ in stack[depth:]:
-            hidden -= t in HIDDEN
-        del stack[depth:]
+        while len(opened) > depth:
+            opened.pop()
 
-    at, end = 0, len(page)
+    def show(text: str) -> None:
+        nonlocal linked
+        if not opened.hidden:
+            text = html.unescape(text)
+            parts.append(text)
+            if opened.places.get("a"):
+                linked += len(text.strip())
+
+    at, end, last_close = 0, len(page), max(page.rfind(">"), page.rfind("<!"), page.rfind("<?"))
     while at < end:
+        if at > last_close:  # nothing more can be a tag
+            show(page[at:])
+            break
         m = TOKEN.match(page, at)
         at = m.end()
         tag = m["tag"]
         if tag is None:
             token = m[0]
             if token[0] != "<" or token == "<":
-                if not hidden:
-                    text = html.unescape(token)
-                    parts.append(text)
-                    if any(t == "a" for t, _ in stack):
-                        linked += len(text.strip())
+                show(token)
             continue
         tag = tag.lower()
         if m["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
+            depth = opened.last((tag,))
+            if depth >= 0:
                 close_to(depth)
             elif tag in BLOCK:
                 flush()
@@ -139,54 +205,64 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             # A paragraph ends where a block begins, and inline tags left open end with it.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close_to(i)
-                    break
-                if stack[i][0] in BOUND:
-                    break
-            ends, bounds = ENDS.get(tag, (set(), set()))
-            for i in range(len(stack) - 1, -1, -1) if ends else ():
-                if stack[i][0] in bounds:
+            paragraph = opened.last(("p",))
+            if paragraph > opened.last(BOUND):
+                close_to(paragraph)
+            ends, bounds = ENDS.get(tag, ((), ()))
+            while (depth := opened.last(ends)) > opened.last(bounds):
+                close_to(depth)
+                if tag != "tr":
                     break
-                if stack[i][0] in ends:
-                    close_to(i)
-                    if tag != "tr":
-                        break
             flush()
         if tag in HIDDEN:
             flush()
-            hidden += 1
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop = _closing(tag).search(page, at)
             inner = page[at : stop.start() if stop else end]
             at = stop.end() if stop else end
-            stack.append((tag, _node(tag, attrs)))
-            if not hidden:
+            opened.push(tag, attrs)
+            if not opened.hidden:
                 parts.append(html.unescape(inner))
-            close_to(len(stack) - 1)
+            close_to(len(opened) - 1)
             continue
         if not attrs.endswith("/") or tag in BLOCK:
-            stack.append((tag, _node(tag, attrs)))
+            opened.push(tag, attrs)
             if tag in HIDDEN and attrs.endswith("/"):
-                close_to(len(stack) - 1)
+                close_to(len(opened) - 1)
     close_to(0)
     flush()
     return out
 
 
-def features(blocks: list[Block], i: int) -> list[str]:
-    b = blocks[i]
+@lru_cache(maxsize=16)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
+def own_features(b: Block) -> list[str]:
+    """The features of a block but for those of the elements around it."""
     n = len(b.text)
     link = b.linked / n
     size = 0 if n < 20 else 1 if n < 60 else 2 if n < 160 else 3
-    out = [*set(b.path), f"t:{b.tag}", f"size:{size}", f"link:{0 if link == 0 else 1 if link < 0.5 else 2}", f"tag+size:{b.tag}:{size}"]
-    out.append(f"end:{b.text[-1] in '.!?…:;»”\"'}")
-    out.append(f"sign:{any(c in '©®™|›»·' for c in b.text)}")
-    out.append(f"digits:{sum(c.isdigit() for c in b.text) * 5 > n}")
-    inside = "a:article" in b.path or "a:main" in b.path
-    out.append(f"inside:{inside}:{b.tag}")
-    return out
+    inside = b.path is not None and b.path.inside
+    linked = 0 if link == 0 else 1 if link < 0.5 else 2
+    ends = b.text[-1] in ".!?…:;»”\"'"
+    return [
+        f"t:{b.tag}",
+        f"size:{size}",
+        f"link:{linked}",
+        f"tag+size:{b.tag}:{size}",
+        f"tag+link:{b.tag}:{linked}",
+        f"end:{ends}",
+        f"size+end:{size}:{ends}:{linked}",
+        f"sign:{any(c in '©®™|›»·' for c in b.text)}",
+        f"digits:{sum(c.isdigit() for c in b.text) * 5 > n}",
+        f"inside:{inside}:{b.tag}",
+    ]
+
+
+def features(b: Block) -> list[str]:
+    return [*(b.path.features() if b.path else ()), *own_features(b)]
 
 
 def hashed(names: list[str]) -> list[int]:
@@ -205,7 +281,26 @@ class Model:
         if not blocks:
             return []
         margin = self.weights[:, 1] - self.weights[:, 0]
-        emit = [float(margin[hashed(features(blocks, i))].sum()) for i in range(len(blocks))]
+        known: dict[str, float] = {}
+        around: dict[Node, float] = {}
+
+        def of(name: str) -> float:
+            if name not in known:
+                known[name] = float(margin[hashed([name])[0]])
+            return known[name]
+
+        emit = []
+        for b in blocks:
+            # What the elements around it add is summed up once for each element.
+            chain, at = [], b.path
+            while at is not None and at not in around:
+                chain.append(at)
+                at = at.parent
+            total = around[at] if at is not None else 0.0
+            for node in reversed(chain):
+                total += sum(map(of, node.fresh))
+                around[node] = total
+            emit.append(total + sum(map(of, own_features(b))))
         (t00, t01), (t10, t11) = self.transitions.tolist()
         off, on, back = 0.0, emit[0], []
         for e in emit[1:]:
@@ -228,7 +323,7 @@ def fit(pages: list[tuple[str, set[str]]], epochs: int = 12) -> Model:
     for page, main in pages:
         blocks = blocks_of(page)
         if blocks:
-            sequences.append(([hashed(features(blocks, i)) for i in range(len(blocks))], [int(b.text in main) for b in blocks]))
+            sequences.append(([hashed(features(b)) for b in blocks], [int(b.text in main) for b in blocks]))
     squares, t_squares = np.full_like(model.weights, 1e-2), np.full((2, 2), 1e-1)
     rng = random.Random(5)
     for _ in range(epochs):
@@ -269,13 +364,15 @@ MARKS = {
     "sidebar": "sidebar aside related widget rail trending popular recommended",
     "notice": "notice cookie cookies consent gdpr alert banner popup modal newsletter subscribe paywall",
     "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion",
-    "comments": "comments comment replies reply discussion disqus respond",
+    "comments": "comments comment commentlist replies reply responses response discussion disqus respond thread feedback reactions",
     "form": "form search login signup contact",
     "share": "share sharing social follow tags meta byline",
 }
+#: Words that name the place of the main text, or say nothing.
+PLACES = "content body article post entry story text page main wrap container row column inner layout primary"
 
 
-def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(count: int = 1000, seed: int = 11) -> list[tuple[str, set[str]]]:
     """Pages of made-up words in varied layouts, with the texts of their main blocks."""
     rng = random.Random(seed)
     syllables = "ba de ki lo mu na pe ri so tu va ze lin mor tas ent ing ous".split()
@@ -297,7 +394,17 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, set[str]
         item = lambda: f'<a href="/{words(1, 1)}">{words(1, 3)}</a>'
         return "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(rng.randint(2, 7))) + "</ul>"
 
+    def bare(kind: str) -> str:
+        """A part that neither tag nor names tell from the main text."""
+        if kind == "menu":
+            return f"<div>{links()}</div>" if rng.random() < 0.5 else "<div>" + " | ".join(f'<a href="/x">{words(1, 2)}</a>' for _ in range(rng.randint(3, 8))) + "</div>"
+        if kind == "footer":
+            return f"<div>{rng.choice(['&copy; ', '© '])}{rng.randint(1990, 2030)} {words(1, 4)}{rng.choice(['', ' | ' + words(1, 3)])}</div>"
+        return f"<div><a href='/'>{words(1, 3)}</a></div>"
+
     def other(kind: str) -> str:
+        if plain_page and kind in ("menu", "footer", "header"):
+            return bare(kind)
         tag = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}.get(kind)
         plain = tag and rng.random() < 0.6
         tag = tag if tag and rng.random() < 0.7 else rng.choice(["div", "div", "section"])
@@ -321,8 +428,10 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, set[str]
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
     pages = []
+    plain_page = False
     for _ in range(count):
         main: set[str] = set()
+        plain_page = rng.random() < 0.25
 
         def keep(text: str, main: set[str] = main) -> str:
             main.add(" ".join(text.split()))
@@ -331,9 +440,13 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, set[str]
         body = []
         title = words(2, 9)
         if rng.random() < 0.8:
-            body.append(f"<h1>{keep(title)}</h1>")
+            heading = rng.choice(["h1", "h1", "h1", "h2"])
+            body.append(f"<{heading}>{keep(title)}</{heading}>")
         for _ in range(rng.randint(1, 9)):
-            text = keep(" ".join(sentence() for _ in range(rng.choice([1, 1, 2, 4, 9]))))
+            text = " ".join(sentence() for _ in range(rng.choice([1, 1, 2, 4, 9])))
+            if rng.random() < 0.1:  # a row of a table written as text
+                text = " | ".join(words(1, 2) for _ in range(rng.randint(2, 12))) + rng.choice(["", " |", "."])
+            keep(text)
             body.append(
                 rng.choice(
                     [f"<p>{text}</p>"] * 6
@@ -343,15 +456,24 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, set[str]
             )
             if rng.random() < 0.25:
                 body.append(other(rng.choice(["advert", "advert", "sidebar", "share", "notice", "form"])))
-        if rng.random() < 0.2:
+        if rng.random() < 0.25:
             body.append(other("comments"))
+        name = lambda: rng.choice([rng.choice(PLACES.split()), f"{rng.choice(PLACES.split())}-{rng.choice(PLACES.split())}"])
+        # The main text's own element may bear a name that elsewhere marks another part.
+        odd = lambda: f"{rng.choice([rng.choice(v.split()) for v in MARKS.values()])}-{rng.choice(['layout', 'page', 'column', 'wide'])}"
         wrap = rng.choice(
-            ["article"] * 5
-            + ["main", 'div class="content"', 'div id="content"', 'div class="article-body"', 'div class="post"', 'div class="entry-content"', 'section class="story"']
+            ["article"] * 6
+            + [f'article class="{name()}"', "main", "main", f'main id="{name()}"', 'div role="main"', 'div role="main"', f'main class="{odd()}"', f'div class="{odd()}"']
+            + [f'div class="{name()}"', f'div id="{name()}"', f'section class="{name()}"', f'div id="{name()}" class="{name()}"', "section"]
         )
+        if plain_page:
+            wrap = rng.choice(["div", "div", "section", "td", "center"])
         inner = f"<{wrap}>{''.join(body)}</{wrap.split()[0]}>"
+        if wrap == "td":
+            inner = f"<table><tr>{inner}</tr></table>"
         if rng.random() < 0.3:
-            inner = f"<main><div class='{rng.choice(['wrap', 'container', 'row', 'page'])}'>{inner}</div></main>"
+            outer = rng.choice(["main", "main", "div"])
+            inner = f"<{outer}><div class='{rng.choice(['wrap', 'container', 'row', 'page', odd()])}'>{inner}</div></{outer}>"
         before = [other(k) for k in ("menu", "header", "notice", "advert", "share", "form") if rng.random() < 0.4]
         after = [other(k) for k in ("sidebar", "comments", "advert", "notice", "menu", "footer") if rng.random() < 0.4]
         rng.shuffle(before)
