@@ -27,8 +27,9 @@ Shingles are compared by 64-bit hashes.  Nothing is sampled, capped or dropped.
 Defined results: words are split at ASCII white space after lower-casing A-Z; fewer
 words than a shingle make one shingle of all; a null text or one without words has
 an empty set, links with nothing and is its own component; ids that repeat are one
-node, each row with its own set size; a null id is left out; an empty table gives an
-empty result.
+node, each row with its own set size; a row of null id can't be named by a link, so it
+links with nothing and its component is null; an empty table gives an empty result;
+columns other than the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -229,7 +230,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     root = checkpoint_root(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = every.filter("id IS NOT NULL")
     classes = _sketch(source.select("text"), width)
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +253,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     folder = f"{root.rstrip('/')}/textloom-jaccard-{xxhash.xxh3_64_hexdigest(str(id(docs)) + str(np.random.default_rng().integers(1 << 62)))}"
-    source.mapInArrow(points, f"id {kind}, n int, key binary, vec binary, prefix array<long>").write.parquet(folder)
+    every.mapInArrow(points, f"id {kind}, n int, key binary, vec binary, prefix array<long>").write.parquet(folder)
     stored = spark.read.parquet(folder)
 
     # One point for each distinct set: the smallest id of those that have it.  Groups of copies meet in partial sums.
-    holders = cut(stored.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    holders = cut(stored.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     firsts = holders.select("key", "id")
     stored.join(firsts, ["key", "id"]).select("id", "n", "vec", "prefix").write.parquet(f"{folder}-points")
     sets = spark.read.parquet(f"{folder}-points")
@@ -354,14 +356,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     settled = firsts.join(final, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     large = cut(holders.filter(F.col("copies") >= 1000).select("key"))  # at most a thousandth of the rows
     out = stored.select("id", "n", "key")
-    full = out.filter("n > 0")
+    full = out.filter("n > 0 AND id IS NOT NULL")
     n_large = large.count()
     if n_large and n_large <= BROADCAST_ROWS:
         hot = F.broadcast(settled.join(F.broadcast(large), "key"))
         found = full.join(hot, "key").unionByName(full.join(F.broadcast(large), "key", "left_anti").join(settled, "key"))
     else:
         found = full.join(settled, "key")
-    empty = out.filter("n = 0").withColumn("component_id", F.col("id"))
+    empty = out.filter("n = 0 OR id IS NULL").withColumn("component_id", F.col("id"))
     return found.select("id", "n", "component_id").unionByName(empty.select("id", "n", "component_id")).select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id"
     )
