@@ -14,8 +14,8 @@
 3. Classifier.  A logistic regression over the presence of the lexicon entries is
    trained on the posterior labels, and gives the score of every text.
 
-Only texts enter the score.  The model has at most ``MOST_VOTERS`` entries and goes
-to the executors with the function.
+Only texts enter the score.  The sample bounds the entries that can pass; they go to
+the executors with the function.
 
 Defined results: a null or empty text gets the score of a text without any entry;
 without labelled rows of both classes every score is the smoothed share of toxic
@@ -42,7 +42,6 @@ from .common import text_slices
 from .langid import sample
 
 FIT_ROWS = 3000
-MOST_VOTERS = 400
 BITS = 22
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -90,7 +89,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def mine(texts: list[str], labels: np.ndarray, most: int = MOST_VOTERS) -> list[str]:
+def mine(texts: list[str], labels: np.ndarray) -> list[str]:
     """Entries by how surely they tell toxic texts, strongest first; of entries on the same toxic texts one.
 
     Buckets of a hash first bound how many toxic texts hold an entry, so that only
@@ -136,8 +135,6 @@ def mine(texts: list[str], labels: np.ndarray, most: int = MOST_VOTERS) -> list[
         if where[entry] not in seen:
             seen.add(where[entry])
             out.append(entry)
-            if len(out) == most:
-                break
     return out
 
 
