@@ -37,6 +37,13 @@ from .common import mix64, text_slices
 
 BITS = 18
 FIT_DOCS = 600
+#: Words of a training sequence; one in MIXED of the sequences is made of stretches of different languages.
+WINDOW = 24
+MIXED = 3
+#: Words of a long text whose messages are computed together.
+BLOCK = 256
+#: Bytes of text that a worker labels at once.
+SLICE_BYTES = 2 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -97,12 +104,13 @@ class Model:
         return out
 
 
-def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray):
+def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """Posteriors of every word, for sequences that lie one after another in ``emit``.
 
     All sequences advance together, the longest first, so a step is one array
-    operation over those that haven't ended.  Also returns forward and backward
-    messages, both scaled to sum to 1.
+    operation over those that haven't ended.  ``enter`` has what stands before the first
+    word of each sequence in place of ``start``, ``leave`` the backward message at its
+    last.  Also returns forward and backward messages, both scaled to sum to 1.
     """
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
@@ -110,17 +118,18 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, st
     local = np.exp(emit - emit.max(axis=1, keepdims=True)).astype(np.float64)
     forward, backward = np.empty_like(local), np.empty_like(local)
     step = np.exp(transitions)
+    enter = np.exp(start) if enter is None else enter[order]
     longest = int(sizes[0]) if len(sizes) else 0
     alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
     for t in range(longest):
         at = begins[: alive[t]] + t
-        got = local[at] * (np.exp(start) if t == 0 else forward[at - 1] @ step)
+        got = local[at] * (enter if t == 0 else forward[at - 1] @ step)
         forward[at] = got / got.sum(axis=1, keepdims=True)
     for t in range(longest - 1, -1, -1):
         n = alive[t]
         at = begins[:n] + t
         on = alive[t + 1] if t + 1 < longest else 0
-        got = np.ones((n, local.shape[1]))
+        got = np.ones((n, local.shape[1])) if leave is None else leave[order[:n]].copy()
         if on:
             after = at[:on] + 1
             got[:on] = (local[after] * backward[after]) @ step.T
@@ -129,24 +138,81 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, st
     return both / both.sum(axis=1, keepdims=True), forward, backward, local
 
 
-def fit_local(rows: list[tuple[str, str]], epochs: int = 3, window: int = 24, seed: int = 7) -> Model:
-    """Fits on (text, language) pairs; long texts are cut into windows of words, all of which are used."""
+def posteriors(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The posteriors of :func:`marginals`, with long sequences cut into blocks that advance together.
+
+    A block maps the message that enters it to the one that leaves it; these maps are
+    products of its steps, found for all blocks at once and then applied in order.
+    """
+    if not len(lengths) or int(lengths.max()) <= block:
+        return marginals(emit, lengths, transitions, start)[0]
+    parts = -(-lengths // block)
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    sizes = np.minimum(block, lengths[owner] - nth * block)
+    begins = np.cumsum(sizes) - sizes
+    step, k = np.exp(transitions), emit.shape[1]
+    long = np.flatnonzero(parts[owner] > 1)
+    maps = np.zeros((len(long), k, k))
+    for t in range(block):
+        on = np.flatnonzero(sizes[long] > t)
+        raw = emit[begins[long[on]] + t].astype(np.float64)
+        local = np.exp(raw - raw.max(axis=1, keepdims=True))[:, None, :]
+        got = np.eye(k)[None] * local if t == 0 else (maps[on] @ step) * local
+        maps[on] = got / got.sum(axis=(1, 2), keepdims=True)
+    slot = np.full(len(owner), -1)
+    slot[long] = np.arange(len(long))
+    enter, leave = np.tile(np.exp(start), (len(owner), 1)), np.ones((len(owner), k))
+    for n in range(1, int(parts.max())):
+        own = np.flatnonzero(nth == n)
+        out = np.einsum("bi,bij->bj", enter[own - 1], maps[slot[own - 1]]) @ step
+        enter[own] = out / out.sum(axis=1, keepdims=True)
+    for n in range(int(parts.max()) - 1, 0, -1):
+        own = np.flatnonzero(nth == n)
+        out = np.einsum("bij,bj->bi", maps[slot[own]], leave[own]) @ step.T
+        leave[own - 1] = out / out.sum(axis=1, keepdims=True)
+    return marginals(emit, sizes, transitions, start, enter, leave)[0]
+
+
+def _sequences(rows: list[list[str]], labels: list[int], window: int, rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
+    """Training sequences of words with a label each: windows of the texts, and mixes of stretches of 1 to 8 words.
+
+    Every word is in one window; the words of mixes are drawn from windows of any language.
+    """
+    pure = [(words[at : at + window], y) for words, y in zip(rows, labels, strict=True) for at in range(0, len(words), window)]
+    out = [(words, [y] * len(words)) for words, y in pure]
+    for _ in range(len(pure) // MIXED if len(set(labels)) > 1 else 0):
+        words: list[str] = []
+        gold: list[int] = []
+        while len(words) < window:
+            own, y = pure[int(rng.integers(len(pure)))]
+            at, size = int(rng.integers(len(own))), int(rng.integers(1, 9))
+            words += own[at : at + size]
+            gold += [y] * len(own[at : at + size])
+        out.append((words, gold))
+    return out
+
+
+def fit_local(rows: list[tuple[str, str]], epochs: int = 3, window: int = WINDOW, seed: int = 7) -> Model:
+    """Fits on (text, language) pairs; long texts are cut into windows of words, all of which are used.
+
+    Windows hold one language; mixes of stretches from several show the model what a
+    switch looks like.
+    """
     languages = sorted({lang for _, lang in rows})
     index = {lang: i for i, lang in enumerate(languages)}
     n = len(languages)
     counts: dict[str, Counter] = {}
-    sequences: list[tuple[list[str], int]] = []
-    for text, lang in rows:
-        words = words_of(text)
-        for at in range(0, len(words), window):
-            sequences.append((words[at : at + window], index[lang]))
+    texts, labels = [words_of(text) for text, _ in rows], [index[lang] for _, lang in rows]
+    rng = np.random.default_rng(seed)
+    sequences = _sequences(texts, labels, window, rng)
+    for words, (_, lang) in zip(texts, rows, strict=True):
         for w in words:
             counts.setdefault(w.lower(), Counter())[index[lang]] += 1
     lexicon = {w: c.most_common(1)[0][0] for w, c in counts.items() if sum(c.values()) >= 20}
     model = Model(languages, np.zeros((1 << BITS, n), np.float32), np.zeros((n, n)), np.zeros(n), lexicon)
     if n < 2 or not sequences:
         return model
-    rng = np.random.default_rng(seed)
     squares, t_squares = np.full((1 << BITS, n), 1e-2, np.float32), np.full((n, n), 1e-2)
     for _ in range(epochs):
         for chunk in np.array_split(rng.permutation(len(sequences)), max(1, len(sequences) // 512)):
@@ -154,7 +220,7 @@ def fit_local(rows: list[tuple[str, str]], epochs: int = 3, window: int = 24, se
             types: dict[str, int] = {}
             ids = np.array([types.setdefault(w, len(types)) for words, _ in own for w in words])
             lengths = np.array([len(words) for words, _ in own])
-            gold = np.repeat([y for _, y in own], lengths)
+            gold = np.array([y for _, ys in own for y in ys])
             flat, owners = feature_rows(list(types), lexicon)
             emit = _sums(model.weights[flat], owners, len(types))[ids]
             post, forward, backward, local = marginals(emit, lengths, model.transitions, model.start)
@@ -207,7 +273,7 @@ def label_texts(texts: list[str], model: Model):
     if not n or not len(ids):
         return found, np.zeros((len(ids), n)), lengths
     filled = lengths[lengths > 0]
-    post, *_ = marginals(model.emissions(list(types))[ids], filled, model.transitions, model.start)
+    post = posteriors(model.emissions(list(types))[ids], filled, model.transitions, model.start)
     return found, post, lengths
 
 
@@ -226,7 +292,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, at):
+            for batch in text_slices(whole, at, SLICE_BYTES):
                 found, post, lengths = label_texts(["" if x is None else x for x in batch.column(at).to_pylist()], model)
                 ends = np.cumsum(lengths)
                 labels, scores, pairs = [], [], []
