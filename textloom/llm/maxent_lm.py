@@ -1,203 +1,328 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-The probability of a token is that of its class, given features of the tokens before
-it, times that of the token in its class.  Classes: each of the most frequent words
-by itself, and the others by a hash of their last characters.  Features: the word
-before, the endings of the two words before together (n-grams), and the endings two
-and three words back (skips); each is hashed to a row of weights over the classes.
-Within its class a token has its smoothed share of the training tokens, and tokens
-that training hasn't seen share one smoothed event in each class; so probabilities
-sum to 1.  A text is the sequence of its words and an end token.
-
-* Counts of words and classes cover all training texts: each task counts its own,
-  Spark sums them up.
-* The class weights are trained by distributed gradient updates: in each round every
-  partition of the training texts makes AdaGrad steps from the common weights, and
-  the results are averaged, each row over the partitions that met it, by how often
-  they did.  A row that few partitions know isn't watered down by the others.
-* The table of weights grows with the training tokens, its rows as their square root
-  (the growth of vocabularies); every task that trains or scores holds it.
-* For scoring, documents are dealt to blocks of about ``BLOCK_BYTES`` of text.  Each
-  block asks the table of counts for its distinct words, and documents and answers
-  meet block by block; no task needs the vocabulary as a whole.
+The softmax over the vocabulary is factored by nested classes.  Words that end in the
+same two characters are a class (the ``CLASSES`` most frequent endings, and one class
+for all others); classes that stand in like surroundings are clustered, two by two, up
+to the class of all words; inside its class a word has a Huffman code by its count.  So
+a word is a leaf of a binary tree, and its probability is the product of the softmaxes
+of two subclasses along its path.  Each of these is a logistic model: the logarithm of
+the ratio of the subclasses' counts, plus a weight for each feature of the tokens
+before.  Features: the word before, the endings of the two words before together
+(n-grams), and the endings two and three words back (skips); feature and node are
+hashed to one weight.  Weights reach from the classes down to single frequent words
+(the ``nodes_of`` heaviest nodes); below, subclasses have their share of the counts.
+The rarer words of a class are one leaf of it, in which a word has its smoothed share,
+and words that training hasn't seen share one smoothed event; so probabilities sum to 1.
+A text is the sequence of its words and an end token.
+
+* Counts of words, endings and pairs of neighbouring endings cover all training texts:
+  each task counts its own, Spark sums them up.
+* The weights are trained by distributed gradient updates over all training texts, each
+  of which belongs to one of the rounds: in a round every partition makes gradient steps
+  from the common weights, each scaled by the curvature that its weight has met so far,
+  and the results are averaged, weight by weight, by that curvature.  A weight that few
+  partitions know isn't watered down by the others.
+* What is learned grows with the training tokens: counts with all words; weights as
+  their square root; leaves of single words, and nodes, as their cube root.  Tasks that
+  train or score hold the latter three.
+* For scoring, each task sums up what it can tell of a document; the words that are no
+  leaf go by a shuffle to the table of counts, with the document's key, and their shares
+  are summed up by a second one.  No task needs the vocabulary, and a word frequent
+  enough to be a hot key is a leaf.
 
 Defined results: a null or empty text is the end token alone; without training texts
 every token is unknown and the base is that of an empty table (N = 0, V = 0);
-repeated rows get a score each; an empty table gives an empty result.
+repeated rows get a score each; an empty table gives an empty result; columns other
+than the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, release, text_slices
-
-HEAD = 24
-TAIL = 24
-#: The weights have 1 << ROWS_BITS rows below 4 * ROWS_TOKENS training tokens, and twice as many rows for each four times as many tokens.
-ROWS_BITS = 15
-ROWS_TOKENS = 1 << 22
-ROUNDS = 3
-#: Training text of a partition and of a step of it, and rows of weights that are averaged together.
-PART_BYTES = 128 << 20
+from .segments import spans
+
+CLASSES = 255
+#: Weights, leaves and weighted nodes at TOKENS training tokens or fewer, as powers of two.
+TABLE_BITS, LEAF_BITS, NODE_BITS = 19, 16, 8
+TOKENS = 1 << 22
+ROUNDS = 2
+#: Training text of a partition, of a step's texts, and tokens of a step; weights that are averaged together.
+PART_BYTES = 256 << 20
 FIT_BYTES = 2 << 20
-CHUNK_ROWS = 1024
-BLOCK_BYTES = 16 << 20
+STEP = 4096
+CHUNK = 1 << 16
+#: Share of a step's full correction that each template makes, and the curvature that every weight starts with.
+RATE, PRIOR = 0.4, 2.0
 SMOOTH = 0.1
 #: The end token; no word is empty.
-END = b""
+END = ""
 TEMPLATES = 4
+_NODE = np.uint64(0x9E3779B97F4A7C15)
+_SLOT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def _grown(base: int, tokens: int, root: int) -> int:
+    """``base`` as a power of two at TOKENS, and one more for each ``root`` doublings of the tokens."""
+    return base + max(0, (tokens // TOKENS).bit_length() - 1) // root
 
 
-@dataclass
-class Model:
-    head: dict[bytes, int]
-    weights: np.ndarray  # (1 << bits, classes)
-    bias: np.ndarray
+def table_bits(tokens: int) -> int:
+    return _grown(TABLE_BITS, tokens, 2)
 
-    @property
-    def classes(self) -> int:
-        return len(self.bias)
 
-    @property
-    def bits(self) -> int:
-        return len(self.weights).bit_length() - 1
+def leaves_of(tokens: int) -> int:
+    return 1 << _grown(LEAF_BITS, tokens, 3)
 
 
-def table_bits(tokens: int) -> int:
-    return ROWS_BITS + max(0, (tokens // ROWS_TOKENS).bit_length() - 1) // 2
+def nodes_of(tokens: int) -> int:
+    return 1 << _grown(NODE_BITS, tokens, 3)
 
 
-def class_of(word: bytes, head: dict[bytes, int]) -> int:
-    found = head.get(word)
-    return len(head) + zlib.crc32(word[-2:]) % TAIL if found is None else found
+def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens, the token numbers of all texts one after another, and the lengths."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    types = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes = np.asarray(coded.indices, dtype=np.int64)
+    end = types.index(END) if END in types else len(types)
+    if end == len(types):
+        types.append(END)
+    offsets = np.asarray(split.offsets, dtype=np.int64)
+    word = codes != end  # white space at an edge of a text leaves an empty part
+    before = np.concatenate([[0], np.cumsum(word)])[offsets]
+    counts = np.diff(before)
+    ids = np.full(int(counts.sum()) + len(counts), end, dtype=np.int64)
+    ids[spans(before[:-1] + np.arange(len(counts)), counts)] = codes[word]
+    return types, ids, counts + 1
 
 
-def _codes(types: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word and of its ending; the last row stands before the text."""
-    word = np.array([*map(zlib.crc32, types), 1], dtype=np.uint64)
-    tail = np.array([*[zlib.crc32(w[-3:], 7) for w in types], 2], dtype=np.uint64)
-    return word, tail
+def _places(lengths: np.ndarray) -> np.ndarray:
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def feature_rows(ids: np.ndarray, place: np.ndarray, types: list[bytes], bits: int = ROWS_BITS) -> np.ndarray:
-    """Weight rows of every token, (tokens, TEMPLATES); ``place`` is its position in its text."""
-    word, tail = _codes(types)
-    none = len(types)
+def _back(ids: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
+    """What stands ``k`` tokens before each, ``none`` before the text."""
+    out = np.full(len(ids), none, dtype=np.int64)
+    out[k:] = ids[: max(0, len(ids) - k)]
+    out[place < k] = none
+    return out
 
-    def back(k: int) -> np.ndarray:
-        out = np.full(len(ids), none, dtype=np.int64)
-        out[k:] = ids[:-k]
-        out[place < k] = none
-        return out
 
-    one, two, three = back(1), back(2), back(3)
-    mask = np.uint64((1 << bits) - 1)
-    raw = (
-        word[one] * np.uint64(8) + np.uint64(1),
-        (tail[one] * np.uint64(0x9E3779B1) + tail[two]) * np.uint64(8) + np.uint64(2),
-        tail[two] * np.uint64(8) + np.uint64(3),
-        tail[three] * np.uint64(8) + np.uint64(4),
+def features(ids: np.ndarray, place: np.ndarray, types: list[str]) -> np.ndarray:
+    """Codes of the features of every token, (TEMPLATES, tokens); ``place`` is its position in its text."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in types]
+    word = np.array([*map(zlib.crc32, raw), 1], dtype=np.uint64)
+    tail = np.array([*[zlib.crc32(w[-3:], 7) for w in raw], 2], dtype=np.uint64)
+    one, two, three = (_back(ids, place, k, len(types)) for k in (1, 2, 3))
+    return np.stack(
+        [
+            mix64(word * np.uint64(8) + np.uint64(1))[one],
+            mix64((tail[one] * np.uint64(0x9E3779B1) + tail[two]) * np.uint64(8) + np.uint64(2)),
+            mix64(tail * np.uint64(8) + np.uint64(3))[two],
+            mix64(tail * np.uint64(8) + np.uint64(4))[three],
+        ]
     )
-    return np.stack([(mix64(x) & mask).astype(np.int32) for x in raw], axis=1)
 
 
-def tokens_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct tokens, the token numbers of all texts one after another, and the lengths."""
-    index: dict[bytes, int] = {END: 0}
-    number = index.setdefault
-    rows = []
-    for text in texts:
-        own = [number(w, len(index)) for w in words_of(text)]
-        own.append(0)
-        rows.append(np.array(own, dtype=np.int64))
-    lengths = np.array([len(x) for x in rows], dtype=np.int64)
-    return list(index), np.concatenate(rows) if rows else np.zeros(0, np.int64), lengths
+def ending_of(word: str) -> str:
+    return word[-2:]
 
 
-def _places(lengths: np.ndarray) -> np.ndarray:
-    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-
-def class_scores(model: Model, rows: np.ndarray, gold: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token's class."""
-    out = np.empty(len(gold), dtype=np.float64)
-    for at in range(0, len(gold), 16384):
-        part = rows[at : at + 16384]
-        z = model.weights[part[:, 0]] + model.bias
-        for k in range(1, TEMPLATES):
-            z += model.weights[part[:, k]]
-        top = z.max(axis=1)
-        pick = z[np.arange(len(z)), gold[at : at + 16384]]
-        out[at : at + 16384] = pick - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+@dataclass
+class Lexicon:
+    """The leaves, and the weighted part of the path to each."""
+
+    words: dict[str, int] = field(default_factory=dict)
+    endings: dict[str, int] = field(default_factory=dict)  # the leaf of the rarer words with an ending
+    other: int = 0  # the leaf of the rarer words with any other ending
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(1))  # training tokens of leaves of one word
+    rare: np.ndarray = field(default_factory=lambda: np.ones(1, bool))
+    #: What is added to a token's log probability for its leaf, below the weighted nodes.
+    constant: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    size: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    nodes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    right: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    bias: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def leaves(self, types: list[str]) -> np.ndarray:
+        words, endings, other = self.words.get, self.endings.get, self.other
+        return np.array([endings(w[-2:], other) if (k := words(w)) is None else k for w in types], dtype=np.int64)
+
+
+def _halves(vectors: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Which of the classes go right: the best cut in two groups along the axis of their largest spread."""
+    share = mass / mass.sum()
+    rest = vectors - share @ vectors
+    axis = rest[int(np.argmax(share))] + 1e-6
+    for _ in range(60):  # power iteration
+        axis = rest.T @ (share * (rest @ axis))
+        axis /= np.linalg.norm(axis) + 1e-300
+    along = rest @ axis
+    order = np.argsort(along, kind="stable")
+    weight = np.cumsum(share[order])[:-1]
+    moment = np.cumsum((share * along)[order])[:-1]
+    between = moment**2 / np.maximum(weight * (1 - weight), 1e-12)
+    cut_at = int(np.argmax(between)) + 1
+    right = np.ones(len(mass), bool)
+    right[order[:cut_at]] = False
+    return right
+
+
+def build(classes: list[str | None], contexts: np.ndarray, rare: list[tuple[float, int]], words: list[tuple[str, int, int]], weighted: int) -> Lexicon:
+    """The tree.
+
+    ``classes`` are the endings (None for all others) and ``contexts`` counts of the
+    classes around each; ``rare`` has (mass, number of words) of the rarer words of each
+    class and ``words`` (word, class, count) of those that are leaves.
+    """
+    out = Lexicon()
+    leaf_mass: list[float] = []
+    inner: list[tuple[int, int, float, float]] = []  # children and masses of nodes; a leaf k is -1 - k
+    members: list[list[tuple[float, int]]] = [[] for _ in classes]
+    counts, is_rare, scale = [], [], []
+    for k, (mass, n) in enumerate(rare):
+        leaf = len(leaf_mass)
+        if classes[k] is None:
+            out.other = leaf
+        else:
+            out.endings[classes[k]] = leaf
+        leaf_mass.append(mass + SMOOTH * (n + 1))
+        counts.append(0)
+        is_rare.append(True)
+        scale.append(-math.log(leaf_mass[-1]))
+        members[k].append((leaf_mass[-1], leaf))
+    for word, k, c in words:
+        out.words[word] = len(leaf_mass)
+        members[k].append((c + SMOOTH, len(leaf_mass)))
+        leaf_mass.append(c + SMOOTH)
+        counts.append(c)
+        is_rare.append(False)
+        scale.append(0.0)
+
+    def join(a: tuple[float, int], b: tuple[float, int]) -> tuple[float, int]:
+        inner.append((a[1], b[1], a[0], b[0]))
+        return a[0] + b[0], len(inner) - 1
+
+    tops = []
+    for own in members:
+        heap = [(m, -1 - leaf) for m, leaf in own]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            heapq.heappush(heap, join(heapq.heappop(heap), heapq.heappop(heap)))
+        tops.append(heap[0])
+    near = np.sqrt((contexts + 1e-9) / (contexts + 1e-9).sum(axis=1, keepdims=True))
+
+    def cluster(group: np.ndarray) -> tuple[float, int]:
+        if len(group) == 1:
+            return tops[int(group[0])]
+        right = _halves(near[group], np.array([tops[int(k)][0] for k in group]))
+        return join(cluster(group[~right]), cluster(group[right]))
+
+    root = cluster(np.arange(len(classes)))[1]
+    heavy = sorted(range(len(inner)), key=lambda i: (-inner[i][2] - inner[i][3], i))[:weighted]
+    number = {i: n for n, i in enumerate(heavy)}
+    out.bias = np.array([math.log(inner[i][3] / inner[i][2]) for i in heavy], dtype=np.float32)
+    out.counts, out.rare = np.array(counts, dtype=np.float64), np.array(is_rare)
+    out.at, out.size = np.zeros(len(leaf_mass), np.int64), np.zeros(len(leaf_mass), np.int64)
+    out.constant = np.array(scale)
+    nodes: list[int] = []
+    right: list[bool] = []
+    # Down the tree; the weighted part of a path is shared by all leaves below its end.
+    stack: list[tuple[int, tuple[int, ...], tuple[bool, ...], float]] = [(root, (), (), math.log(sum(leaf_mass)))]
+    placed: dict[tuple, int] = {}
+    while stack:
+        at, path, turns, top = stack.pop()
+        if at < 0:
+            leaf = -1 - at
+            if (path, turns) not in placed:
+                placed[path, turns] = len(nodes)
+                nodes += path
+                right += turns
+            out.at[leaf], out.size[leaf] = placed[path, turns], len(path)
+            # Below the last weighted node a leaf has its share of the mass there.
+            out.constant[leaf] += math.log(leaf_mass[leaf]) - top
+            continue
+        a, b, mass_a, mass_b = inner[at]
+        n = number.get(at)
+        if n is None:
+            stack += [(a, path, turns, top), (b, path, turns, top)]
+        else:
+            stack += [(a, (*path, n), (*turns, False), math.log(mass_a)), (b, (*path, n), (*turns, True), math.log(mass_b))]
+    out.nodes, out.right = np.array(nodes, dtype=np.int32), np.array(right, dtype=bool)
     return out
 
 
-class Descent:
-    """AdaGrad steps from a model; ``met`` counts how often each row of weights was used."""
-
-    def __init__(self, model: Model, seed: int, batch: int = 1024, rate: float = 0.15):
-        self.model = Model(model.head, model.weights.copy(), model.bias.copy())
-        self.squares, self.b_squares = np.full(model.weights.shape, 1e-3, np.float32), np.full(model.bias.shape, 1e-3, np.float32)
-        self.met, self.tokens = np.zeros(len(model.weights), np.float32), 0
-        self.rng, self.batch, self.rate = np.random.default_rng(seed), batch, rate
-
-    def learn(self, texts: list[str | None]) -> None:
-        """One pass over texts, in random order of batches."""
-        model, squares, b_squares, batch, rate = self.model, self.squares, self.b_squares, self.batch, self.rate
-        types, ids, lengths = tokens_of(texts)
-        rows = feature_rows(ids, _places(lengths), types, model.bits)
-        gold = np.array([class_of(w, model.head) for w in types])[ids]
-        weights, bias = model.weights, model.bias
-        for part in np.array_split(self.rng.permutation(len(gold)), max(1, len(gold) // batch)):
-            if not len(part):
+class Weights:
+    """The hashed weights and the curvature that each has met."""
+
+    def __init__(self, bits: int, weights: np.ndarray | None = None, met: np.ndarray | None = None):
+        self.bits = bits
+        self.weights = np.zeros(1 << bits, np.float32) if weights is None else weights
+        self.met = np.zeros(1 << bits, np.float32) if met is None else met
+
+    def slots(self, codes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        mixed = nodes * _NODE
+        mixed += codes
+        mixed *= _SLOT
+        mixed >>= np.uint64(64 - self.bits)
+        return mixed.view(np.int64)
+
+    def _paths(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray):
+        size = lexicon.size[leaf]
+        step = spans(lexicon.at[leaf], size)
+        node = lexicon.nodes[step]
+        wide = node.astype(np.uint64)
+        slots = [self.slots(np.repeat(own, size), wide) for own in codes]
+        z = lexicon.bias[node]
+        for own in slots:
+            z += self.weights[own]
+        return size, slots, z, lexicon.right[step]
+
+    def log_probs(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural log probability of each token's leaf (of the token itself, if no others are in the leaf)."""
+        out = lexicon.constant[leaf]
+        for at in range(0, len(leaf), STEP):
+            own = slice(at, at + STEP)
+            size, _, z, right = self._paths(lexicon, codes[:, own], leaf[own])
+            if not len(z):
                 continue
-            own = rows[part]
-            z = weights[own[:, 0]] + bias
-            for k in range(1, TEMPLATES):
-                z += weights[own[:, k]]
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z, out=z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), gold[part]] -= 1
-            p /= batch / 32
-            # Row numbers in order, each with its place in the batch in the low half.
-            key = own.ravel().astype(np.int64) << 32 | np.arange(own.size)
-            key.sort()
-            flat = key >> 32
-            start = np.flatnonzero(np.diff(flat, prepend=-1))
-            used = flat[start]
-            gradient = np.add.reduceat(p[(key & 0xFFFFFFFF) // TEMPLATES], start, axis=0)
-            self.met[used] += np.diff(start, append=len(flat))
-            step = squares[used]
-            step += gradient * gradient
-            squares[used] = step
-            np.divide(gradient, np.sqrt(step, out=step), out=step)
-            step *= rate
-            weights[used] -= step
-            g = p.sum(axis=0)
-            b_squares += g**2
-            bias -= rate * g / np.sqrt(b_squares)
-        self.tokens += len(gold)
-
-
-def descend(model: Model, texts: list[str | None], seed: int, batch: int = 1024, rate: float = 0.15) -> Model:
-    """One pass of AdaGrad steps over texts."""
-    descent = Descent(model, seed, batch, rate)
-    descent.learn(texts)
-    return descent.model
+            np.negative(z, out=z, where=right)
+            # log(1 + e^z) summed along a path is the logarithm of a product, unless that is too large a number.
+            total = np.zeros(len(size))
+            on = np.flatnonzero(size)
+            first = (np.cumsum(size) - size)[on]
+            with np.errstate(over="ignore"):
+                total[on] = np.log(np.multiply.reduceat(1 + np.exp(z).astype(np.float64), first))
+            if not np.isfinite(total).all():
+                total[on] = np.add.reduceat(np.logaddexp(0, z.astype(np.float64)), first)
+            out[own] -= total
+        return out
+
+    def learn(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray, rng: np.random.Generator) -> None:
+        """Gradient steps over all tokens, in random order of steps."""
+        for at in rng.permutation(np.arange(0, len(leaf), STEP)).tolist():
+            own = slice(at, at + STEP)
+            _, slots, z, right = self._paths(lexicon, codes[:, own], leaf[own])
+            p = 1 / (1 + np.exp(-z))
+            curved = p * (1 - p)
+            wrong = (right - p) * np.float32(RATE)
+            for s in slots:
+                np.add.at(self.met, s, curved)
+            for s in slots:
+                np.add.at(self.weights, s, wrong / (self.met[s] + np.float32(PRIOR)))
 
 
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -205,150 +330,216 @@ def count_words(texts: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 0, 24 << 20):
-                counts: Counter = Counter()
-                texts = batch.column(0).to_pylist()
-                for text in texts:
-                    counts.update(words_of(text))
-                counts[END] += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            for batch in text_slices(whole, 0, 16 << 20):
+                types, ids, _ = tokens_of(batch.column(0))
+                counts = np.bincount(ids, minlength=len(types))
+                held = counts > 0
+                words = pa.array(types, pa.string()).filter(pa.array(held))
+                yield pa.RecordBatch.from_arrays([words, pa.array(counts[held], pa.int64())], names=["word", "c"])
+
+    return texts.select(text_col).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def count_neighbours(texts: DataFrame, text_col: str, classes: list[str | None]) -> np.ndarray:
+    """How often a token of each class stands one or two before or after a token of each class, over all texts."""
+    index = {e: k for k, e in enumerate(classes) if e is not None}
+    size, other = len(classes), len(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for whole in batches:
+            for batch in text_slices(whole, 0, 4 << 20):
+                types, ids, lengths = tokens_of(batch.column(0))
+                kind = np.array([index.get(w[-2:], other) for w in types])[ids]
+                place = _places(lengths)
+                for k in (1, 2):
+                    on = np.flatnonzero(place >= k)
+                    total += np.bincount(kind[on] * size + kind[on - k], minlength=size * size)
+        rows = total.reshape(size, size)
+        rows = rows + rows.T
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[k].astype("<i8").tobytes() for k in used.tolist()], pa.binary())], names=["k", "near"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in parts["near"])
+        return pa.table({"k": parts["k"].slice(0, 1), "near": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((size, size))
+    parts = texts.select(text_col).mapInArrow(run, "k int, near binary")
+    for row in parts.groupBy("k").applyInArrow(add, "k int, near binary").toLocalIterator():
+        out[row["k"]] = np.frombuffer(row["near"], "<i8")
+    return out
 
-    return texts.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def fit(train: DataFrame, lexicon, text_col: str, tokens: int, rounds: int = ROUNDS) -> Weights:
+    """Rounds of local gradient steps over the partitions of ``train``, which has ``tokens`` tokens, averaged weight by weight.
 
-def fit(train: DataFrame, head: dict[bytes, int], text_col: str, tokens: int, rounds: int = ROUNDS) -> Model:
-    """Rounds of local gradient passes over the partitions of ``train``, which has ``tokens`` tokens, averaged row by row."""
-    classes, bits = len(head) + TAIL, table_bits(tokens)
-    model = Model(head, np.zeros((1 << bits, classes), np.float32), np.zeros(classes, np.float32))
+    Each round takes another share of the texts, by their hash.  ``lexicon`` is a
+    broadcast variable.
+    """
     spark = train.sparkSession
-    held = train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    spread = train.select(text_col).coalesce(max(6, -(-int(held) // PART_BYTES)))
-    for number in range(rounds):
-        sent = spark.sparkContext.broadcast((head, model.weights, model.bias))
+    bits = table_bits(tokens)
+    model = Weights(bits)
+    held = int(train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    parts = max(spark.sparkContext.defaultParallelism, -(-held // PART_BYTES))
+    spread = train.select(text_col).coalesce(parts)
+    schema = "at int, weights binary, met binary"
+    for number in range(rounds if tokens else 0):
+        sent = spark.sparkContext.broadcast((model.weights.astype(np.float16), np.sqrt(model.met).astype(np.float16)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, number: int = number) -> Iterator[pa.RecordBatch]:
-            descent = None
+            first, root = sent.value
+            own, rng = None, np.random.default_rng(number)
+            words = lexicon.value
             for whole in batches:
                 for batch in text_slices(whole, 0, FIT_BYTES):
-                    descent = descent or Descent(Model(*sent.value), number, rate=0.15 / (1 + number))
-                    descent.learn(batch.column(0).to_pylist())
-            if descent is None:
-                return
-            got, met = descent.model, descent.met
-            for at in range(0, len(met), CHUNK_ROWS):
-                if met[at : at + CHUNK_ROWS].any():
-                    yield _chunk(at, met[at : at + CHUNK_ROWS], got.weights[at : at + CHUNK_ROWS])
-            yield _chunk(-1, np.array([descent.tokens], np.float32), got.bias)
-
-        weights, bias = model.weights.copy(), model.bias
-        for row in spread.mapInArrow(run, CHUNK).groupBy("at").applyInArrow(_average, CHUNK).toLocalIterator():
-            found = np.frombuffer(row["weights"], "<f4").reshape(-1, classes)
-            if row["at"] < 0:
-                bias = found[0].copy()
-            else:
-                met = np.frombuffer(row["met"], "<f4") > 0
-                weights[row["at"] : row["at"] + len(met)][met] = found[met]
-        model = Model(head, weights, bias)
+                    own = own or Weights(bits, first.astype(np.float32), np.square(root.astype(np.float32)))
+                    types, ids, lengths = tokens_of(batch.column(0))
+                    own.learn(words, features(ids, _places(lengths), types), words.leaves(types)[ids], rng)
+            for at in range(0, 1 << bits if own else 0, CHUNK):
+                yield _chunk(at, own.weights[at : at + CHUNK], own.met[at : at + CHUNK])
+
+        share = spread.filter(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == number)
+        averaged = share.mapInArrow(run, schema).groupBy("at").applyInArrow(_average, schema)
+        weights, met = model.weights.copy(), model.met.copy()
+        for row in averaged.toLocalIterator():
+            w = np.frombuffer(row["weights"], "<f2").astype(np.float32)
+            weights[row["at"] : row["at"] + len(w)] = w
+            met[row["at"] : row["at"] + len(w)] = np.square(np.frombuffer(row["met"], "<f2").astype(np.float32))
+        model = Weights(bits, weights, met)
         sent.destroy()
         release(spark)
     return model
 
 
-CHUNK = "at int, met binary, weights binary"
-
-
-def _chunk(at: int, met: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([at], pa.int32()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (met, weights))]
-    return pa.RecordBatch.from_arrays(columns, names=["at", "met", "weights"])
+def _chunk(at: int, weights: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    """A stretch of weights for a row of the shuffle; the curvature is kept by its root."""
+    columns = [weights.astype("<f2").tobytes(), np.sqrt(met).astype("<f2").tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["at", "weights", "met"])
 
 
 def _average(parts: pa.Table) -> pa.Table:
-    """Means of the rows of a chunk, by how often each partition met them."""
+    """Means of the weights of a stretch by the curvature that each partition met; and the mean curvature."""
     total, summed = 0.0, 0.0
-    for met, weights in zip(parts["met"], parts["weights"], strict=True):
-        n = np.frombuffer(met.as_buffer(), "<f4").astype(np.float64)
-        total = total + n
-        summed = summed + n[:, None] * np.frombuffer(weights.as_buffer(), "<f4").reshape(len(n), -1)
-    return pa.Table.from_batches([_chunk(parts["at"][0].as_py(), total, summed / np.maximum(total, 1)[:, None])])
-
-
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    for w, m in zip(parts["weights"], parts["met"], strict=True):
+        met = np.square(np.frombuffer(m.as_buffer(), "<f2").astype(np.float64))
+        total = total + met
+        summed = summed + met * np.frombuffer(w.as_buffer(), "<f2").astype(np.float64)
+    mean = summed / np.maximum(total, 1e-12)
+    return pa.Table.from_batches([_chunk(parts["at"][0].as_py(), mean.astype(np.float32), (total / parts.num_rows).astype(np.float32))])
+
+
+def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The words above the lowest count that no more than ``most`` words pass (to a hundredth of its logarithm), by count and word.
+
+    The threshold comes from a histogram of a few thousand bars, so no task sends words that don't pass.
+    """
+    bar = F.floor(F.log("c") * 100).cast("int")
+    held = 0
+    least = None
+    for k, n in sorted(counts.groupBy(bar.alias("k")).count().collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = k
+    if least is None:
+        return []
+    found = [(r["word"], int(r["c"])) for r in counts.filter(bar >= least).select("word", "c").collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+def learn_tree(counts: DataFrame, train: DataFrame, text_col: str, total: int) -> Lexicon:
+    """Classes, leaves and paths, from the counts of all words."""
+    words = frequent(counts.filter(F.col("word") != END), leaves_of(total))
+    ending = F.expr("substring(word, -2, 2)")
+    by_ending = counts.groupBy(ending.alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
+    top = by_ending.orderBy(F.col("n").desc(), "e").limit(CLASSES).collect()
+    whole = by_ending.agg(F.sum("n"), F.sum("v")).first()
+    classes: list[str | None] = [r["e"] for r in top] + [None]
+    mass = [int(r["n"]) for r in top] + [int(whole[0] or 0) - sum(int(r["n"]) for r in top)]
+    size = [int(r["v"]) for r in top] + [int(whole[1] or 0) - sum(int(r["v"]) for r in top)]
+    index = {e: k for k, e in enumerate(classes) if e is not None}
+    ends = counts.filter(F.col("word") == END).first()
+    leaves = [*([(END, int(ends["c"]))] if ends else []), *words]
+    placed = []
+    for word, c in leaves:
+        k = index.get(ending_of(word), len(index))
+        mass[k] -= c
+        size[k] -= 1
+        placed.append((word, k, c))
+    near = count_neighbours(train, text_col, classes)
+    return build(classes, near, list(zip(mass, size, strict=True)), placed, nodes_of(total))
+
+
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score (both log10) of every document."""
+    spark = docs.sparkSession
     counts = cut(count_words(train, text_col))
     seen = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, distinct = int(seen[0] or 0), int(seen[1])
-    top = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-    head = {bytes(r["word"]): i for i, r in enumerate(top)}
-    ends = next((int(r["c"]) for r in top if not r["word"]), None)
-    trained = ends if ends is not None else train.count()
-
-    # Class sums, natively; the class of a word is the same as in class_of.
-    kind = F.lit(len(head)) + F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(TAIL)).cast("int")
-    for word, i in reversed(head.items()):
-        kind = F.when(F.col("word") == F.lit(bytearray(word)), F.lit(i)).otherwise(kind)
-    sums = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    classes = len(head) + TAIL
-    class_n = np.array([sums.get(k, (0, 0))[0] for k in range(classes)], dtype=np.float64)
-    class_v = np.array([sums.get(k, (0, 0))[1] for k in range(classes)], dtype=np.float64)
-
-    model = fit(train, head, text_col, total)
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    dealt = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
-    ).repartition(max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lexicon = spark.sparkContext.broadcast(learn_tree(counts, train, text_col, total))
+    model = fit(train, lexicon, text_col, total)
+    sent = spark.sparkContext.broadcast((model.bits, model.weights))
+    norm = math.log10(total + SMOOTH * (distinct + 1))
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "mark", "word", "n", "tokens", "known", "base", "score"]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document (its word begins with a space) and for each of its words that is no leaf."""
+        words, (bits, weights) = lexicon.value, sent.value
+        model = Weights(bits, weights, weights)
+        log_counts = np.log10(words.counts + SMOOTH)
         for whole in batches:
-            for batch in text_slices(whole, 1, 16 << 20):
-                own: dict[int, set[bytes]] = {}
-                for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own.setdefault(block, set()).update(words_of(text))
-                for block, words in own.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int32()), pa.array(list(words), pa.binary())], names=["block", "word"])
-
-    asked = dealt.select("block", "text").mapInArrow(distinct_words, "block int, word binary")
-    answers = asked.join(counts, "word").select("block", "word", "c")
-
-    def score_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = Model(head, *sent.value)
-        known = dict(zip(right["word"].to_pylist(), right["c"].to_pylist(), strict=True))
-        known[END] = trained
-        ids, out = left["id"], []
-        texts = left["text"].to_pylist()
-        starts, held = [0], 0
-        for i, text in enumerate(texts):
-            held += len(text or "")
-            if held >= 4 << 20:
-                starts.append(i + 1)
-                held = 0
-        for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
-            if a == b:
-                continue
-            types, tokens, lengths = tokens_of(texts[a:b])
-            c = np.array([known.get(w, 0) for w in types], dtype=np.float64)
-            k = np.array([class_of(w, model.head) for w in types])
-            inside = np.log((c + SMOOTH) / (class_n[k] + SMOOTH * (class_v[k] + 1)))
-            base = np.log10((c + SMOOTH) / (total + SMOOTH * (distinct + 1)))
-            by_class = class_scores(model, feature_rows(tokens, _places(lengths), types, model.bits), k[tokens])
-            first = np.cumsum(lengths) - lengths
-            out.append(
-                (
-                    lengths,
-                    np.add.reduceat((c > 0)[tokens].astype(np.int64), first),
-                    np.add.reduceat(base[tokens], first),
-                    np.add.reduceat(by_class + inside[tokens], first) / np.log(10),
-                )
-            )
-        n, seen_n, base_sum, score_sum = (np.concatenate([x[i] for x in out]) for i in range(4))
-        return pa.table({"id": ids, "n_tokens": n, "n_known": seen_n, "train_tokens": np.full(len(n), total), "base_score": base_sum, "score": score_sum})
-
-    # A block whose words are all unknown has no answers, so the blocks meet in a full cogroup.
-    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda left, right: score_block(left, right),
-        f"id {id_kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+            for batch in text_slices(whole, 2, 2 << 20):
+                types, ids, lengths = tokens_of(batch.column(2))
+                leaf = words.leaves(types)
+                own = leaf[ids]
+                rare = words.rare[own]
+                first = np.cumsum(lengths) - lengths
+                found = model.log_probs(words, features(ids, _places(lengths), types), own) / math.log(10)
+                base = np.where(rare, 0.0, log_counts[own]) - norm
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                key = np.sort(doc[rare] * len(types) + ids[rare])
+                at = np.flatnonzero(np.diff(key, prepend=-1))
+                times = np.diff(at, append=len(key))
+                key = key[at]
+                n, m = len(lengths), len(key)
+                order = np.concatenate([np.arange(n), key // len(types)])
+                word = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" "), pc.cast(batch.column(1), pa.string()), ""), pa.array(types, pa.string()).take(pa.array(key % len(types)))])
+                zero = np.zeros(m)
+                values = [
+                    pa.array(np.concatenate([np.ones(n, np.int64), times])),
+                    pa.array(np.concatenate([lengths, zero.astype(np.int64)])),
+                    pa.array(np.concatenate([np.add.reduceat((~rare).astype(np.int64), first), zero.astype(np.int64)])),
+                    pa.array(np.concatenate([np.add.reduceat(base, first), zero])),
+                    pa.array(np.concatenate([np.add.reduceat(found, first), zero])),
+                ]
+                for part in range(0, n + m, 50_000):
+                    pick = pa.array(order[part : part + 50_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pick), batch.column(1).take(pick), word.slice(part, 50_000), *(x.slice(part, 50_000) for x in values)], names=names
+                    )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(told, f"id {kind}, mark long, word string, n long, tokens long, known long, base double, score double")
+    is_doc = F.col("tokens") > 0
+    met = rows.join(counts, "word", "left")
+    rare = F.when(is_doc, F.lit(0.0)).otherwise(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH)))
+    summed = met.groupBy("id", "mark").agg(
+        F.sum(is_doc.cast("long")).alias("copies"),
+        F.sum("tokens").alias("tokens"),
+        F.sum(F.col("known") + F.when(~is_doc & F.col("c").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("known"),
+        F.sum(F.col("base") + rare).alias("base"),
+        F.sum(F.col("score") + rare).alias("score"),
     )
-    return found.withColumnRenamed("id", id_col)
+    # Rows that repeat id and text were summed up together; each gets its share, which is the same.
+    each = lambda name: F.col(name) / F.col("copies")
+    return summed.select(
+        F.col("id").alias(id_col),
+        each("tokens").cast("long").alias("n_tokens"),
+        each("known").cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        each("base").alias("base_score"),
+        each("score").alias("score"),
+        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"),
+    ).drop("_copy")
