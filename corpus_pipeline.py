@@ -3,6 +3,12 @@
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet
 and read again as the next one's documents.  All but the last keep the columns of
 ``documents``.
+
+Defined results: a null or empty text has no letters and goes in stage 1; rows of null
+id are kept like others (they are near copies of nothing); of rows that repeat id and
+text one stays; rows of one id with different texts are one node in stage 3 and stay or
+go together; extra columns pass through, whatever their names; an empty table goes
+through all stages empty.
 """
 
 from __future__ import annotations
@@ -11,14 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, exact_dedup, jaccard_join, langid, token_files
-from textloom.llm.common import table
+from textloom.llm.common import apart, named_back, table
+
+#: Names of columns that stages add on the way.
+OWN = ("_lang", "_score", *decontam.OWN)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters; a text of several languages stays, whatever the share of the largest."""
     labelled = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs, renamed = apart(docs, OWN)
     found = langid.predict(docs, langid.fit(labelled), out=("_lang", "_score"))
-    return found.filter(F.col("_lang") != langid.UNKNOWN).select(*docs.columns)
+    return named_back(found.filter(F.col("_lang") != langid.UNKNOWN).select(*docs.columns), renamed)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +45,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of the benchmark out of the texts; a document of nothing else goes."""
+    docs, renamed = apart(docs, OWN)
     found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]).cast("long")) == F.col("n_words")
     found = found.filter(~(whole & (F.col("n_words") > 0)))
     cut = decontam.remove(found).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    return named_back(cut.select(*docs.columns), renamed)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, exact_dedup, html_text, jaccard_join, langid, maxent_lm, queries, sharding, token_files, toxicity
@@ -36,6 +38,12 @@ def docs(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
+def spark_rows(path):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(path).to_pylist()
+
+
 # --- exact copies
 
 
@@ -58,6 +66,19 @@ def test_exact_dedup_edges(odd, none):
     assert exact_dedup.survivors(none).columns == none.columns
 
 
+def test_exact_dedup_with_names_of_its_own(spark):
+    names = ["_sha", "_H128", "_key", "_keep", "_size", "_text", "_id", "_hk", "count", "text_sha256", "kept"]
+    docs = spark.createDataFrame([(i, "ab"[i % 2], *[i] * len(names)) for i in range(6)], ["doc_id", "text", *names])
+    for hot_parts in (1, 4096):
+        found = exact_dedup.exact_dedup(docs, hot_parts=hot_parts)
+        assert found.columns == ["doc_id", "text", *names[:-2], "keep_id", "group_size", "kept", "text_sha256"]
+        assert all(r["_sha"] == r["_key"] == r["doc_id"] and r["keep_id"] == r["doc_id"] % 2 for r in found.collect())
+    left = exact_dedup.survivors(docs).collect()
+    assert sorted(tuple(r) for r in left) == [(0, "a", *[0] * len(names)), (1, "b", *[1] * len(names))]
+    by_other = docs.drop("_id", "_text").withColumnsRenamed({"doc_id": "_id", "text": "_text"})
+    assert exact_dedup.exact_dedup(by_other, "_id", "_text").filter("kept").count() == 2
+
+
 def test_exact_dedup_with_hot_group(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
     found = exact_dedup.exact_dedup(docs, hot_parts=8)
@@ -92,6 +113,34 @@ def test_shard_weights(spark):
     assert {r["b"] for r in both.distinct().collect()} <= {4, 5}
 
 
+def test_shards_against_a_plain_descent(spark, docs):
+    """Sizes, checksums and both shards of every document, drawn level by level in plain Python."""
+    import math
+
+    import xxhash
+
+    def pick(key, children):
+        def draw(label, weight):
+            unit = ((xxhash.xxh64_intdigest(label, seed=xxhash.xxh64_intdigest(key, seed=42)) >> 11) + 0.5) / 2**53
+            return -math.log(unit) / weight
+
+        return min((draw(label, weight), child) for label, child, weight in children)[1]
+
+    def descend(key, shards):
+        racks = collections.Counter(s // 4 for s in range(shards))
+        regions = collections.Counter(s // 12 for s in range(shards))
+        region = pick(key, [(f"region/{r}", r, n) for r, n in regions.items()])
+        rack = pick(key, [(f"rack/{region}/{k}", k, n) for k, n in racks.items() if k // 3 == region])
+        return pick(key, [(f"shard/{region}/{rack}/{s}", s, 1) for s in range(shards) if s // 4 == rack])
+
+    want = {}
+    for r in docs.collect():
+        raw, key = (r["text"] or "").encode(), str(r["doc_id"]).encode()
+        want[r["doc_id"]] = (len(raw) + 8, zlib.crc32(raw), descend(key, 24), descend(key, 25))
+    rows = queries.op4_hash_tree_sharding(spark, DATA).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in rows} == want and len(rows) == docs.count()
+
+
 # --- byte-level BPE
 
 
@@ -101,9 +150,43 @@ def test_bpe_equals_tiktoken():
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
     rng = random.Random(5)
     texts = ["", " ", "  a  b", "<|endoftext|>"] + ["".join(rng.choice("abcdeo  th\n\t.,'s123é漢\x1c \x85🙂ñ") for _ in range(rng.randint(0, 70))) for _ in range(1500)]
-    for text in texts:
-        ids = bpe.encode_text(text, RANKS, PATTERN).tolist()
-        assert ids == library.encode_ordinary(text) and vocabulary.decode(ids) == text.encode()
+    some = [t.decode("utf-8", "ignore") for t in rng.sample(vocabulary.tokens, 4000)]
+    for sep in ("", " ", "\n", "  "):
+        texts += [sep.join(some[i : i + 5]) for i in range(0, len(some), 5)]
+    texts.append("x" * 300 + " " + "y-" * 300 + " " * 200)
+    encoder = bpe._tools(RANKS, PATTERN)
+    want = [library.encode_ordinary(text) for text in texts]
+    for _ in range(2):  # the second time from memory
+        ids, counts = encoder.encode(pa.array([*texts, None]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [*want, []]
+        assert encoder.decode(ids, counts).to_pylist() == [*[t.encode() for t in texts], b""]
+    assert all(bpe.encode_text(t, RANKS, PATTERN).tolist() == w for t, w in list(zip(texts, want, strict=True))[:300])
+    assert all(vocabulary.encode_piece(t.encode()) == library.encode_ordinary(t) for t in some if len(regex.findall(PATTERN, t)) == 1)
+
+
+def test_bpe_forgets_segments_in_bounds():
+    from textloom.llm.segments import SegmentEncoder
+
+    calls = []
+
+    def lengths(pieces):
+        calls.append(len(pieces))
+        return np.arange(len(pieces), dtype=np.int32), np.ones(len(pieces), np.int64)
+
+    encoder = SegmentEncoder(regex.compile(PATTERN), lengths, 3)
+    for batch in (["a b b a a b", "c c"], ["d d e e f f", None], ["x x", " x x"], [""]):
+        ids, counts = encoder.encode(pa.array(batch, pa.string()))
+        assert counts.tolist() == [len(regex.findall(PATTERN, t or "")) for t in batch] and len(encoder.known) <= 3 and len(ids) == counts.sum()
+
+
+def test_bpe_query_equals_tiktoken(spark, docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe._tools(RANKS, PATTERN).vocabulary.ranks, special_tokens={})
+    want = {}
+    for r in docs.collect():
+        ids = library.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+    assert {r[0]: tuple(r)[1:] for r in queries.op5_prefix_bpe(spark, DATA).collect()} == want
 
 
 def test_pair_rule_and_tables():
@@ -136,6 +219,8 @@ def test_bpe_edges(odd, none):
     assert bpe.decode(bpe.encode(none, RANKS, PATTERN), RANKS).count() == 0
     with pytest.raises(ValueError):
         bpe._tools(RANKS, PATTERN).vocabulary.decode([99999999])
+    with pytest.raises(ValueError):
+        bpe._tools(RANKS, PATTERN).decode(np.array([99999999]), np.array([1]))
 
 
 # --- token files
@@ -145,7 +230,6 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZERS.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     start, want = 0, {}
     for i, t in texts:
@@ -163,7 +247,9 @@ def test_token_files_added_tokens_in_text():
     mark = next(t.content for t in tokenizer.get_added_tokens_decoder().values())
     texts = [f"a{mark}b", "plain words", f" {mark}  {mark} end ", "", mark, mark[:-1], f"x {mark[:3]}{mark}\n"]
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(x, "<i4").tolist() for x in token_files.encode_texts(texts, path, PATTERN)] == want
+    for _ in range(2):  # the second time from memory
+        ids, counts = token_files.encode_texts(pa.array([*texts, None]), path, PATTERN)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [*want, []]
 
 
 def test_token_file_format(spark, odd, none, tmp_path):
@@ -221,6 +307,16 @@ def test_decontamination_against_brute_force(spark):
     assert got == want and any(v[-1] for v in want.values())
 
 
+def test_decontamination_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    want = sorted(tuple(r) for r in con.execute(queries.OP3_SQL).fetchall())
+    assert sorted(tuple(r) for r in queries.op3_fm_decontamination(spark, DATA).collect()) == want and any(r[-1] for r in want)
+
+
 def test_decontamination_edges(spark, odd, none):
     items = spark.createDataFrame([(1, "THE A"), (1, "null id"), (2, None), (3, "..."), (None, "long words long")], "item_id long, text string")
     for block_bytes in (1 << 20, 4):  # in one pass, and an item a pass
@@ -275,6 +371,20 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, block):
     assert {r[0]: (r[1], r[2]) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("least", [1000, 3])
+def test_components_with_hubs(spark, monkeypatch, least):
+    monkeypatch.setattr(jaccard_join, "HUB_LEAST", least)
+    monkeypatch.setattr(jaccard_join, "HUB_PARTS", 8)
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    label = {i: i for e in edges for i in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["id"]: r["component"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: k for i, k in label.items() if any(a != b and i in (a, b) for a, b in edges)}
+
+
 def test_jaccard_query(spark, docs, none):
     want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 85, 100)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op9_pivot_jaccard(spark, DATA).collect()} == want
@@ -283,7 +393,8 @@ def test_jaccard_query(spark, docs, none):
 
 def test_jaccard_null_and_repeated_ids(odd):
     rows = jaccard_join.jaccard_join(odd).collect()
-    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 4), (5, 3)]
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows if r["doc_id"]) == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 4), (5, 3)]
+    assert [tuple(r) for r in rows if r["doc_id"] is None] == [(None, 1, None)]
 
 
 # --- language model
@@ -315,18 +426,94 @@ def test_lm_learns_from_every_document(spark):
     assert found[1] > 9 * np.log10(0.5)
 
 
-def test_lm_table_grows_with_tokens():
-    assert [maxent_lm.table_bits(n) for n in (0, 1 << 22, 1 << 24, 1 << 26, 1 << 32)] == [15, 15, 16, 17, 20]
+def test_lm_grows_with_tokens():
+    assert [maxent_lm.table_bits(n) for n in (0, 1 << 22, 1 << 24, 1 << 26, 1 << 32)] == [19, 19, 20, 21, 24]
+    assert [maxent_lm.leaves_of(n) for n in (0, 1 << 22, 1 << 25, 1 << 31)] == [1 << 16, 1 << 16, 1 << 17, 1 << 19]
+    assert [maxent_lm.nodes_of(n) for n in (0, 1 << 25, 1 << 31)] == [256, 512, 2048]
 
 
-def test_lm_probabilities_sum_to_one():
-    texts = ["a b c a b", "b c a d", "e f a b"]
-    head = {b"a": 0, maxent_lm.END: 1}
-    model = maxent_lm.descend(maxent_lm.Model(head, np.zeros((1 << maxent_lm.ROWS_BITS, 2 + maxent_lm.TAIL), np.float32), np.zeros(2 + maxent_lm.TAIL, np.float32)), texts, 0, batch=4)
+def small_lexicon(weighted=1000):
+    classes = ["ab", "cd", "xy", "", None]
+    near = np.array([[9, 8, 0, 1, 0], [8, 9, 1, 1, 0], [0, 1, 9, 1, 3], [1, 1, 1, 0, 0], [0, 0, 3, 0, 1]], float)
+    words = [("ab", 0, 40), ("zab", 0, 7), ("cd", 1, 30), ("xy", 2, 20), ("qxy", 2, 9), ("", 3, 12), ("other", 4, 5)]
+    return maxent_lm.build(classes, near, [(6, 3), (0, 0), (2, 2), (0, 0), (11, 9)], words, weighted)
+
+
+@pytest.mark.parametrize("weighted", [1000, 4, 0])
+def test_lm_probabilities_sum_to_one(weighted):
+    lexicon = small_lexicon(weighted)
+    model = maxent_lm.Weights(12)
+    texts = pa.array(["ab cd xy qxy rab", "other cd ab new", None, "  xy  ab\n"])
     types, ids, lengths = maxent_lm.tokens_of(texts)
-    rows = maxent_lm.feature_rows(ids, maxent_lm._places(lengths), types)
-    total = sum(np.exp(maxent_lm.class_scores(model, rows, np.full(len(ids), k))) for k in range(model.classes))
+    assert lengths.tolist() == [6, 5, 1, 3] and [types[i] for i in ids[-3:]] == ["xy", "ab", ""]
+    codes = maxent_lm.features(ids, maxent_lm._places(lengths), types)
+    start = model.log_probs(lexicon, codes, lexicon.leaves(types)[ids])
+    # Before training a leaf of one word has its share of the counts.
+    total = 40 + 7 + 30 + 20 + 9 + 12 + 5 + 7 * 0.1 + 6 + 0.4 + 0.1 + 2 + 0.3 + 0.1 + 11 + 1.0
+    at = [types[i] for i in ids].index("qxy")
+    assert start[at] == pytest.approx(np.log(9.1 / total))
+    for _ in range(20):
+        model.learn(lexicon, codes, lexicon.leaves(types)[ids], np.random.default_rng(0))
+    leaves = np.arange(len(lexicon.size))
+    # A leaf of rarer words holds its words' smoothed counts, which its constant divides by its mass.
+    inner = {0: 6 + 0.4, 1: 0.1, 2: 2 + 0.3, 3: 0.1, 4: 11 + 1.0}
+    mass = np.array([inner.get(k, 1.0) for k in leaves])
+    total = sum(np.exp(model.log_probs(lexicon, codes, np.full(len(ids), k))) * mass[k] for k in leaves)
     assert np.allclose(total, 1, atol=1e-5)
+    learned = model.log_probs(lexicon, codes, lexicon.leaves(types)[ids])
+    assert learned.sum() > start.sum() if weighted else np.allclose(learned, start)
+
+
+def test_lm_weights_against_plain_sums():
+    """Log probabilities from the definition: a product over the path of one logistic model for each node."""
+    lexicon, rng = small_lexicon(), np.random.default_rng(4)
+    model = maxent_lm.Weights(12, rng.normal(size=1 << 12).astype(np.float32))
+    types, ids, lengths = maxent_lm.tokens_of(pa.array(["ab cd xy qxy rab other", "cd ab new"]))
+    leaf = lexicon.leaves(types)[ids]
+    codes = maxent_lm.features(ids, maxent_lm._places(lengths), types)
+    got = model.log_probs(lexicon, codes, leaf)
+    for t, k in enumerate(leaf.tolist()):
+        want = lexicon.constant[k]
+        for s in range(lexicon.at[k], lexicon.at[k] + lexicon.size[k]):
+            node = int(lexicon.nodes[s])
+            z = float(lexicon.bias[node])
+            for code in codes[:, t].tolist():
+                slot = ((code + node * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 % 2**64) >> 52
+                z += float(model.weights[slot])
+            want -= np.log1p(np.exp(-z if lexicon.right[s] else z))
+        assert got[t] == pytest.approx(want, rel=1e-5)
+
+
+def test_lm_average_weighs_by_curvature():
+    parts = [maxent_lm._chunk(0, np.array(w, np.float32), np.array(m, np.float32)) for w, m in (([1, 2, 5], [1, 0, 4]), ([3, 4, 1], [3, 0, 0]))]
+    found = maxent_lm._average(pa.Table.from_batches(parts))
+    assert np.frombuffer(found["weights"][0].as_py(), "<f2").tolist() == [2.5, 0, 5]
+    assert np.allclose(np.square(np.frombuffer(found["met"][0].as_py(), "<f2")), [2, 0, 2], rtol=1e-2)
+
+
+def test_lm_score_against_parts(spark, docs):
+    """The whole score recomputed on the driver from the trained tree and weights."""
+    kept = docs.select("doc_id", "text")
+    train = kept.filter("doc_id % 3 > 0")
+    seen = {}
+    build, fit = maxent_lm.learn_tree, maxent_lm.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(maxent_lm, "learn_tree", lambda *a: seen.setdefault("lexicon", build(*a)))
+        patch.setattr(maxent_lm, "fit", lambda *a: seen.setdefault("model", fit(*a)))
+        patch.setattr(maxent_lm, "LEAF_BITS", 6)
+        rows = {r["doc_id"]: r for r in maxent_lm.score(kept, train).collect()}
+    words = lambda x: [*(x or "").translate({c: c + 32 for c in range(65, 91)}).encode().split(), b""]
+    counts = collections.Counter(w.decode() for r in train.collect() for w in words(r["text"]))
+    lexicon, model = seen["lexicon"], seen["model"]
+    assert 33 < len(lexicon.words) <= 65 and model.weights.any()
+    # Leaves are the most frequent words.
+    assert min(counts[w] for w in lexicon.words if w) > max(counts[w] for w in counts if w not in lexicon.words)
+    for r in kept.collect():
+        own = [w.decode() for w in words(r["text"])]
+        leaf = lexicon.leaves(own)
+        codes = maxent_lm.features(np.arange(len(own)), np.arange(len(own)), own)
+        want = model.log_probs(lexicon, codes, leaf).sum() + sum(np.log(counts[w] + 0.1) for w, k in zip(own, leaf.tolist(), strict=True) if lexicon.rare[k])
+        assert rows[r["doc_id"]]["score"] == pytest.approx(want / np.log(10), rel=1e-4)
 
 
 # --- classifiers
@@ -359,6 +546,30 @@ def test_forward_backward_against_enumeration():
         assert np.allclose(post[a:b], want / want.sum(axis=1, keepdims=True))
 
 
+def test_blocks_of_long_texts_give_the_same_posteriors():
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 70, 3, 16, 17, 200, 5])
+    emit, move, start = rng.normal(size=(lengths.sum(), 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    assert np.allclose(langid.posteriors(emit, lengths, move, start, block=16), langid.marginals(emit, lengths, move, start)[0])
+
+
+def test_several_switches_in_a_text(docs):
+    model = langid.fit(docs)
+    rng, by = random.Random(3), collections.defaultdict(list)
+    for r in spark_rows("/root/testdata/sf0.01/documents.parquet"):
+        if r["lang"] and r["doc_id"] % 7 == 3:
+            by[r["lang"]] += langid.words_of(r["text"] or "")[:200]
+    for run, least in ((2, 0.9), (4, 0.93), (8, 0.95)):
+        words, gold = [], []
+        for _ in range(1200 // run):
+            lang = rng.choice(model.languages)
+            at = rng.randrange(len(by[lang]) - run)
+            words += by[lang][at : at + run]
+            gold += [lang] * run
+        _, post, _ = langid.label_texts([" ".join(words)], model)
+        assert np.mean([model.languages[k] == y for k, y in zip(post.argmax(axis=1), gold, strict=True)]) > least
+
+
 def test_code_switched_words(docs):
     model = langid.fit(docs)
     by = {r["lang"]: r["text"] for r in docs.filter("n_chars > 1500 AND n_chars < 4000").collect()}
@@ -419,6 +630,60 @@ def test_blocks_of_broken_pages():
     assert texts("") == [] and texts("<script>never closed <p>x</p>") == []
 
 
+def test_blocks_of_is_linear_on_hostile_pages():
+    import time
+
+    pages = [
+        "<a" * 500_000,
+        "<div>x" * 100_000,
+        "<b>" * 50_000 + "x<h1>t</h1>" * 50_000,
+        "<p><div>" + "<b>" * 50_000 + "<h1>x</h1></i>" * 50_000,
+        '<a "' * 200_000 + ">",
+        "<b>" * 50_000 + "</i>" * 50_000,
+    ]
+    for page in pages:
+        began = time.process_time()
+        html_text.blocks_of(page)
+        assert time.process_time() - began < 20, page[:20]
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    return html_text.fit(html_text.labelled_pages())
+
+
+def test_main_text_of_pages_from_elsewhere(page_model):
+    said = "The committee met on Tuesday to discuss the plan for the harbour. Nobody was surprised by the outcome, and few had read the report."
+    texts = [f"{said} Part {i}." for i in range(4)]
+    article = "".join(f"<p>{p}</p>" for p in texts)
+    menu = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About us</a></li></ul>'
+    title = "<h1>Harbour plan</h1>"
+    pages = [
+        f"<html><body><div>{menu}</div><div>{title}{article}</div><div>© 2020 Harbour News</div></body></html>",
+        f'<html><body><div class=topnav>{menu}</div><div role="main">{title}{article}</div><footer>© 2020</footer></body></html>',
+        f'<html><body><nav>{menu}</nav><main class="sidebar-layout">{title}{article}</main><footer>© 2020</footer></body></html>',
+        f'<article>{title}{article}<section id="responses"><h2>3 responses</h2><p>I think this is a very bad plan indeed, said nobody ever.</p></section></article>',
+        f"<html><body><table><tr><td>{menu}</td><td>{title}{article}</td></tr></table></body></html>",
+        f"<body><div id=header><a href=/>Site</a></div><div id=content>{title}{article}</div><div id=sidebar><h3>Popular</h3>{menu}</div>",
+        f"<body><div class='cookie-banner'><p>We use cookies to improve your experience.</p><button>OK</button></div><div class='post'>{title}{article}</div>",
+    ]
+    for page in pages:
+        assert [b.text for b in page_model.main_blocks(html_text.blocks_of(page))] == ["Harbour plan", *texts], page[:120]
+
+
+def test_viterbi_against_enumeration(page_model):
+    import itertools
+
+    blocks = html_text.blocks_of("<nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>Some words stand here.</p><div class=ad>Buy it</div><p>x</p></article><footer>© x</footer>")
+    scores = [[float(page_model.weights[html_text.hashed(html_text.features(b)), y].sum()) for y in (0, 1)] for b in blocks]
+    best = max(
+        itertools.product((0, 1), repeat=len(blocks)),
+        key=lambda ys: sum(s[y] for s, y in zip(scores, ys, strict=True)) + sum(page_model.transitions[a, b] for a, b in zip(ys, ys[1:], strict=False)),
+    )
+    kept = {id(b) for b in page_model.main_blocks(blocks)}
+    assert [int(id(b) in kept) for b in blocks] == list(best)
+
+
 def test_main_text_edges(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "<nav><a href=x>m</a></nav>", "t"), (4, "<article>" + "<p>word word word.</p>" * 20000, "t")], "page_id long, html string, text string")
     model = html_text.fit(html_text.labelled_pages(250))
@@ -470,8 +735,19 @@ def test_pipeline_keeps_mixed_and_short_texts(spark, docs):
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline
 
-    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "the of and is to", None, None, None), (4, "the of and is to " * 5000, "en", "a", 1), (5, "123 456", "en", "b", 7)]
-    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, "/root/testdata/sf0.001").count() >= 1
-        stage(spark, odd.limit(0), "/root/testdata/sf0.001").count()
+    words = "the of and is to "
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, words, None, None, None), (4, words * 5000, "en", "a", 1), (5, "123 456", "en", "b", 7), (6, "one", "en", "b", 3), (6, "one", "en", "b", 3)]
+    names = ["_lang", "_score", "n_words", "spans", "items", "_sha", "_key", "keep_id", "id", "component_id"]
+    odd = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    want = [{None, 4, 6}, {None, 4, 6}, {None, 4, 6}, {None, 4, 6}, {None, 4, 6}]
+    counts = [4, 3, 3, 3, 3]
+    docs = odd
+    for (name, stage), ids, n in zip(corpus_pipeline.STAGES, want, counts, strict=True):
+        found = stage(spark, docs, "/root/testdata/sf0.001")
+        got = found.collect()
+        assert {r["doc_id"] for r in got} == ids and len(got) == n, name
+        empty = stage(spark, odd.limit(0), "/root/testdata/sf0.001")
+        assert empty.count() == 0, name
+        if name != "bpe":
+            assert found.columns == odd.columns and all(r[x] == "x" for r in got for x in names), name
+            docs = spark.createDataFrame(got, odd.schema)
