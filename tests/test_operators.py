@@ -344,6 +344,16 @@ def test_jsonl_and_map(spark, tmp_path):
         io.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id long").collect()
 
 
+def test_compaction_of_appends(spark, tmp_path):
+    path, schema = str(tmp_path / "rows"), "id long, v string"
+    for k in range(5):
+        assert io.compact_jsonl(spark, path, schema, "id") is False
+        io.append_jsonl(spark.createDataFrame([(k, "x"), (0, None if k else "first")], schema).coalesce(1), path)
+    assert io.compact_jsonl(spark, path, schema, "id") is True
+    assert sorted(tuple(r) for r in io.read_jsonl(spark, path, schema).collect()) == [(0, "x"), (1, "x"), (2, "x"), (3, "x"), (4, "x")]
+    assert io.compact_jsonl(spark, path, schema, "id") is False and sorted(os.listdir(tmp_path)) == ["rows"]
+
+
 def test_markdown_reports(spark, tmp_path):
     (tmp_path / "leis").mkdir()
     (tmp_path / "leis" / "a.md").write_text("Art. 1 x")

@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import extract_json
+
+
+# Verdicts that count as an answer.
+VERDICTS = ("aprovado", "revisar", "rejeitar")
+# End of fixed values.
+
+
+def normalised(raw: Column) -> Column:
+    """What a judge's answer says: verdict, score, reason, and whether the verdict is one of the three.
+
+    The answer is text with a JSON object somewhere in it; a verdict of another wording
+    stays as it is, with ``parse_ok`` false, and a score that isn't a number is null.
+    """
+    found = extract_json(raw)
+    said = lambda name: F.get_json_object(found, f"$.{name}")
+    return F.struct(
+        said("veredito").alias("veredito"),
+        said("nota").try_cast("double").alias("nota"),
+        said("justificativa").alias("justificativa"),
+        F.coalesce(said("veredito").isin(*VERDICTS), F.lit(False)).alias("parse_ok"),
+    )
+
 
 def by_item(verdicts: DataFrame, n_judges: int) -> DataFrame:
     """(id, bad, answered, distinct): what the rules below look at; null verdicts count as not answered."""

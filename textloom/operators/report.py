@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,30 @@ def verbosity_corr(scored: DataFrame, score: str, length: str = "n_chars") -> Da
 def window_max(pairs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Best window pair of each item, and whether there was more than one."""
     return pairs.groupBy(*keys).agg(F.max(value).alias(value), (F.count(F.lit(1)) > 1).alias("chunked"))
+
+
+def only_wins(scored: DataFrame, correct: str, key: str = "id") -> DataFrame:
+    """(model_a, model_b, only_a, only_b, both, neither) for pairs of models that answered the same items."""
+    own = scored.select(key, "model", F.coalesce(F.col(correct), F.lit(False)).alias("_c"))
+    a = own.select(key, F.col("model").alias("model_a"), F.col("_c").alias("_a"))
+    b = own.select(key, F.col("model").alias("model_b"), F.col("_c").alias("_b"))
+    count = lambda x: F.sum(x.cast("long"))
+    pairs = a.join(b, key).filter("model_a < model_b").groupBy("model_a", "model_b")
+    x, y = F.col("_a"), F.col("_b")
+    return pairs.agg(count(x & ~y).alias("only_a"), count(y & ~x).alias("only_b"), count(x & y).alias("both"), count(~x & ~y).alias("neither"))
+
+
+def windows(tokens: Column, most: int) -> Column:
+    """Consecutive windows of at most ``most`` tokens; no tokens are one empty window."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(most))
+    return F.transform(starts, lambda i: F.slice(tokens, i + 1, most))
+
+
+def windowed_best(rows: DataFrame, id_col: str, a: str, b: str, similarity: Callable[[Column, Column], Column], most: int = 450) -> DataFrame:
+    """(id, value, chunked): the best similarity of any window of ``a`` with any of ``b`` (token arrays).
+
+    A long pair's windows meet as rows, so they spread over tasks.
+    """
+    left = rows.select(id_col, F.explode(windows(F.col(a), most)).alias("_x"), F.col(b).alias("_b"), (F.size(a) > most).alias("_l"))
+    pairs = left.select(id_col, "_x", F.explode(windows(F.col("_b"), most)).alias("_y"), (F.col("_l") | (F.size("_b") > most)).alias("_long"))
+    return pairs.groupBy(id_col).agg(F.max(similarity(F.col("_x"), F.col("_y"))).alias("value"), F.max("_long").alias("chunked"))

@@ -909,6 +909,53 @@ def page_window(spark, d):
     return joins.page_window(own, "p", "t").select("p", "pages")
 
 
+def _answer(n: str) -> str:
+    verdict = f"CASE {n} % 5 WHEN 0 THEN 'aprovado' WHEN 1 THEN 'revisar' WHEN 2 THEN 'rejeitar' WHEN 3 THEN 'talvez' END"
+    return f"concat('Claro: {{\"veredito\": \"', {verdict}, '\", \"nota\": ', CASE {n} % 4 WHEN 0 THEN '\"x\"' ELSE CAST({n} % 10 AS STRING) END, ', \"justificativa\": \"', lang, '\"}} fim')"
+
+
+@query(
+    """WITH v AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN 'aprovado' WHEN 1 THEN 'revisar' WHEN 2 THEN 'rejeitar' WHEN 3 THEN 'talvez' END AS v FROM documents)
+SELECT doc_id, v AS veredito, CASE WHEN v IS NOT NULL AND doc_id % 4 <> 0 THEN CAST(doc_id % 10 AS DOUBLE) END AS nota, CASE WHEN v IS NOT NULL THEN lang END AS justificativa,
+  coalesce(v IN ('aprovado', 'revisar', 'rejeitar'), false) AS parse_ok FROM v"""
+)
+def judge_normalised(spark, d):
+    """A null verdict makes the whole answer null, as no answer would be."""
+    raw = docs(spark, d).select("doc_id", F.expr(_answer("doc_id")).alias("raw"))
+    return raw.select("doc_id", judge.normalised(F.col("raw")).alias("r")).select("doc_id", "r.*")
+
+
+@query(
+    f"""WITH {SCORED_SQL}, x AS (SELECT id, model, coalesce(correto_command, false) AS c FROM scored)
+SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (WHERE a.c AND NOT b.c) AS only_a, count(*) FILTER (WHERE b.c AND NOT a.c) AS only_b,
+  count(*) FILTER (WHERE a.c AND b.c) AS both, count(*) FILTER (WHERE NOT a.c AND NOT b.c) AS neither FROM x a JOIN x b ON a.id = b.id AND a.model < b.model GROUP BY ALL"""
+)
+def only_wins(spark, d):
+    return report.only_wins(scored(spark, d), "correto_command")
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, t AS (SELECT id, list_sort({_wordset('resposta_referencia')}) AS a, list_sort({_wordset('pergunta')}) AS b FROM items),
+x AS (SELECT id, a, b, len(a) > 8 OR len(b) > 8 AS long, unnest(range(0, greatest(len(a) - 1, 0) + 1, 8)) AS i FROM t), y AS (SELECT *, unnest(range(0, greatest(len(b) - 1, 0) + 1, 8)) AS j FROM x),
+s AS (SELECT id, long, a[i + 1 : i + 8] AS p, b[j + 1 : j + 8] AS q FROM y)
+SELECT id, round(max(len(list_intersect(p, q)) / greatest(len(p), len(q), 1)), 4) AS value, bool_or(long) AS chunked FROM s GROUP BY id"""
+)
+def windowed_best(spark, d):
+    own = items(spark, d).select("id", F.array_sort(tx.word_set(F.col("resposta_referencia"))).alias("a"), F.array_sort(tx.word_set(F.col("pergunta"))).alias("b"))
+    share = lambda p, q: F.size(F.array_intersect(p, q)) / F.greatest(F.size(p), F.size(q), F.lit(1))
+    return report.windowed_best(own, "id", "a", "b", share, 8).withColumn("value", F.round("value", 4))
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, {VERDICTS_SQL}, p AS (SELECT id, any_value(veredito) FILTER (WHERE judge = 'phi') AS p, any_value(veredito) FILTER (WHERE judge = 'command') AS c FROM verdicts GROUP BY id),
+r AS (SELECT id, CASE WHEN p = 'rejeitar' AND c = 'rejeitar' THEN 'ambos_rejeitar' WHEN p IS DISTINCT FROM c THEN 'discordancia' WHEN c = 'revisar' THEN 'rejeitado_command' ELSE 'outros' END AS reason FROM p)
+SELECT id, reason FROM items JOIN r USING (id) WHERE dominio = 'd2' AND reason = 'discordancia' AND contains(lower(pergunta), 'an')"""
+)
+def review_queue_filter(spark, d):
+    own = items(spark, d).join(review_reason(spark, d), "id")
+    return joins.facet_search(own, {"dominio": "d2", "reason": "discordancia"}, "AN", ("pergunta",)).select("id", "reason")
+
+
 # --- Model calls and resumption --------------------------------------------------------------------------------------
 
 

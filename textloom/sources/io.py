@@ -56,6 +56,34 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     write_jsonl(df, path, "append")
 
 
+def compact_jsonl(spark: SparkSession, path: str, schema: str, key: str, every: int = 5) -> bool:
+    """Rewrites a folder that rows were appended to as one set of files, once it holds ``every`` appends; tells whether it did.
+
+    Of rows that repeat a key the one with most fields set stays.  The new files are
+    written beside the folder and take its place by a rename, so a crash leaves either
+    the old rows or the new.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return False
+    # Each write has files of its own id: part-00000-<id>-c000.json
+    writes = {f.getPath().getName().split("-", 2)[2].rsplit("-", 1)[0] for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")}
+    if len(writes) < every:
+        return False
+    rows = read_jsonl(spark, path, schema)
+    filled = sum((F.col(c).isNotNull().cast("int") for c in rows.columns), F.lit(0))
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(filled, F.to_json(F.struct(*rows.columns)))).alias("_r")).select("_r.*")
+    fresh, old = hadoop.Path(path.rstrip("/") + ".fresh"), hadoop.Path(path.rstrip("/") + ".old")
+    write_jsonl(best, fresh.toString())
+    system.delete(old, True)
+    system.rename(folder, old)
+    system.rename(fresh, folder)
+    system.delete(old, True)
+    return True
+
+
 def write_by_domain(df: DataFrame, path: str, key: str = "domain") -> None:
     """A folder for each domain; readers of the parent see all of them."""
     df.write.mode("overwrite").partitionBy(key).option("ignoreNullFields", "false").json(path)
