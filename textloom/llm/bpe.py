@@ -41,6 +41,9 @@ from pyspark.sql import types as T
 from .common import mix64, text_slices
 from .segments import SegmentEncoder, gather
 
+#: Bytes of text that a worker encodes at once, and pieces whose tables it fills at once.
+SLICE_BYTES = 1 << 20
+PIECES = 12_000
 #: Segments that a worker remembers.
 CACHE_SEGMENTS = 150_000
 #: Longest piece, in bytes, whose table is filled in arrays; tokens of more than WIDE bytes also get a table of their own.
@@ -333,8 +336,8 @@ class Tables:
         size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         short = np.flatnonzero((size > 0) & (size <= LONGEST))
         slow = np.flatnonzero(size > LONGEST).tolist()
-        for at in range(0, len(short), 50_000):
-            own = short[at : at + 50_000]
+        for at in range(0, len(short), PIECES):
+            own = short[at : at + PIECES]
             ids, held, missed = self._encode_short([pieces[i] for i in own.tolist()], size[own])
             slow += own[missed].tolist()
             counts[own] = held
@@ -515,7 +518,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tools(path, pattern)
         for whole in batches:
-            for batch in text_slices(whole, at, 4 << 20):
+            for batch in text_slices(whole, at, SLICE_BYTES):
                 ids, counts = encoder.encode(batch.column(at))
                 columns = [*batch.columns, _lists(ids, counts)]
                 if decoded_col:
