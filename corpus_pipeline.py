@@ -20,7 +20,7 @@ from textloom.llm import bpe, decontam, exact_dedup, jaccard_join, langid, token
 from textloom.llm.common import apart, named_back, table
 
 #: Names of columns that stages add on the way.
-OWN = ("_lang", "_score", *decontam.OWN)
+OWN = ("_lang", "_score", "_cut", *decontam.OWN)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of the benchmark out of the texts; a document of nothing else goes."""
     docs, renamed = apart(docs, OWN)
-    found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"), cut_col="_cut")
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]).cast("long")) == F.col("n_words")
     found = found.filter(~(whole & (F.col("n_words") > 0)))
-    cut = decontam.remove(found).withColumn("n_chars", F.length("text").cast("long"))
+    cut = found.withColumn("text", F.col("_cut")).withColumn("n_chars", F.length("text").cast("long"))
     return named_back(cut.select(*docs.columns), renamed)
 
 

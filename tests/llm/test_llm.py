@@ -323,6 +323,8 @@ def test_decontamination_edges(spark, odd, none):
         rows = {r["doc_id"]: r for r in decontam.find(odd, items, block_bytes=block_bytes).collect()}
         assert rows[3]["items"] == ["1"] and rows[3]["spans"] == [[0, 2]] and rows[None]["items"] == ["1"] and rows[4]["items"] == [""] and rows[4]["spans"] == [[0, 59999]]
         assert rows[1]["n_words"] == 0 and rows[2]["spans"] == []
+        cut = {r["doc_id"]: r["cut"] for r in decontam.find(odd, items, block_bytes=block_bytes, cut_col="cut").collect()}
+        assert cut[None] == "\n here" and cut[3] == "\n" and cut[1] is None and cut[2] == ""
     left = {r["doc_id"]: r["text"] for r in decontam.remove(decontam.find(odd, items)).collect()}
     assert left[None] == "\n here" and left[3] == "\n" and left[1] is None
     assert decontam.find(none, items).count() == 0

@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found by an FM-index over each shard of texts.
 
-A shard is what a worker handles at once (about ``BATCH_BYTES`` of text, a longer
+A shard is what a worker handles at once (about ``SHARD_BYTES`` of text, a longer
 text alone).  Its words become numbers: those of the benchmark's vocabulary their
 own, all others one separator; stretches between separators that are shorter than
 the shortest phrase can't hold one and are left out of the index.  Of the rest the
@@ -38,6 +38,7 @@ from .common import text_slices
 WINDOW = 10
 SAMPLE = 8
 BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: UTF-8 bytes of words, after lower-casing A-Z: digits, a-z and all of any other character.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 OWN = ("n_words", "spans", "items")
@@ -242,9 +243,13 @@ def find(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    cut_col: str | None = None,
 ) -> DataFrame:
-    """``docs`` with n_words, spans (merged, of words: from, to) and items (ids as sorted strings)."""
-    rest = [f for f in docs.schema.fields if f.name.lower() not in OWN]
+    """``docs`` with n_words, spans (merged, of words: from, to) and items (ids as sorted strings).
+
+    With ``cut_col`` also the text without its spans, as :func:`remove` leaves it, in the same pass.
+    """
+    rest = [f for f in docs.schema.fields if f.name.lower() not in (*OWN, (cut_col or OWN[0]).lower())]
     names = [f.name for f in rest]
     at = names.index(text_col)
     span = pa.list_(pa.list_(pa.int32()))
@@ -257,11 +262,11 @@ def find(
         ]
     )
 
-    def a_pass(frame: DataFrame, block: list[tuple[str, str]], first: bool) -> DataFrame:
+    def a_pass(frame: DataFrame, block: list[tuple[str, str]], first: bool, cut: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(block, window)
             for whole in batches:
-                for batch in text_slices(whole, at):
+                for batch in text_slices(whole, at, SHARD_BYTES):
                     words = [words_of(x) for x in batch.column(at).to_pylist()]
                     doc, start, phrase = phrases.find(words)
                     spans: dict[int, list[tuple[int, int]]] = {}
@@ -274,22 +279,26 @@ def find(
                             if old:
                                 spans.setdefault(d, []).extend(map(tuple, old))
                                 items.setdefault(d, set()).update(ids)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *batch.columns[: len(names)],
-                            pa.array([len(own) for own in words], pa.int64()),
-                            pa.array([merge(spans.get(d, [])) for d in range(len(words))], span),
-                            pa.array([sorted(items.get(d, ())) for d in range(len(words))], pa.list_(pa.string())),
-                        ],
-                        names=[*names, *OWN],
-                    )
-
-        return frame.mapInArrow(run, schema)
+                    merged = [merge(spans.get(d, [])) for d in range(len(words))]
+                    columns = [
+                        *batch.columns[: len(names)],
+                        pa.array([len(own) for own in words], pa.int64()),
+                        pa.array(merged, span),
+                        pa.array([sorted(items.get(d, ())) for d in range(len(words))], pa.list_(pa.string())),
+                    ]
+                    if cut:
+                        columns.append(pa.array([cut_spans(x, s) if s else x for x, s in zip(batch.column(at).to_pylist(), merged, strict=True)], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, *OWN, *([cut_col] if cut else [])])
+
+        return frame.mapInArrow(run, T.StructType([*schema.fields, T.StructField(cut_col, T.StringType())]) if cut else schema)
 
     found, first = docs.select(*names), True
+    held = None
     for block in blocks(items, item_id_col, item_text_col, block_bytes):
-        found, first = a_pass(found, block, first), False
-    return found
+        if held is not None:
+            found, first = a_pass(found, held, first, False), False
+        held = block
+    return a_pass(found, held, first, cut_col is not None)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
