@@ -53,6 +53,8 @@ COARSE = 8
 BLOCK = 4096
 #: Rows of two numbers that may be broadcast; beyond, a shuffle joins.
 BROADCAST_ROWS = 2_000_000
+#: A node with one in HUB_PARTS of the rows of edges, and this many at least, is a hub.
+HUB_PARTS, HUB_LEAST = 4096, 1000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -167,14 +169,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable, for every id on an edge (a, b).
 
     Alternates two steps until nothing changes: neighbours larger than a node, then
-    smaller ones, are tied to the smallest of its neighbourhood.
+    smaller ones, are tied to the smallest of its neighbourhood.  The minima of nodes
+    that hold at least one row in ``HUB_PARTS`` - there are at most that many - go to
+    the rows by a broadcast, so the middle of a large group isn't one task's work.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    mark = (now.count(), None)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        hub = F.col("n") >= max(HUB_LEAST, -(-2 * mark[0] // HUB_PARTS))
+        hubs = F.broadcast(least.filter(hub).select("u", "m"))
+        wide = both.filter("v > u")
+        told = wide.join(hubs, "u").unionByName(wide.join(hubs.select("u"), "u", "left_anti").join(least.filter(~hub).select("u", "m"), "u"))
+        large = told.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = cut(small.filter("u <> v").distinct())
