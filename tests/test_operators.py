@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 from collections import Counter
 
@@ -427,3 +428,36 @@ def test_near_dedup_over_the_whole_vocabulary(spark):
                 else:
                     gone.setdefault(a, b)
     assert {r["id"]: r["because"] for r in queries.QUERIES["near_dedup"](spark, data).collect()} == gone
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_window_max_cosine_against_all_pairs(spark, monkeypatch, tmp_path, block):
+    """Odd rows too: zeros, nulls, other lengths, repeated ids, a group of one; zeros were a division by zero before."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5)], i % 2) for i in range(23)]
+    rows += [(4, [1.0, 0.0, 0.0, 0.0, 0.0], 0), (30, None, 0), (31, [], 0), (32, [1.0, None, 0.0, 0.0, 0.0], 0), (33, [1.0, 2.0], 0), (33, [3.0], 0), (34, [1.0, 2.0], 0)]
+    rows += [(40, [0.0, 0.0], 3), (41, [1.0, 0.0], 3), (42, [1.0], 4), (None, [1.0, 2.0], 0), (43, [1.0, 2.0], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def cosine(x, y):
+        if not x or not y or None in x or None in y or len(x) != len(y):
+            return None
+        norm = math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+        return sum(p * q for p, q in zip(x, y, strict=True)) / norm if norm else math.nan
+
+    want = {}
+    for i, x, k in rows:
+        sims = [cosine(x, y) for j, y, m in rows if k == m and k is not None and i is not None and j is not None and i != j]
+        if sims:
+            want.setdefault(i, []).extend(sims)
+    found = {r["id"]: (r["sim"], r["chunked"]) for r in queries.window_max_cosine(spark, str(tmp_path)).collect()}
+    assert found.keys() == want.keys()
+    for i, sims in want.items():
+        real = [s for s in sims if s is not None]
+        sim, chunked = found[i]
+        assert chunked == (len(sims) > 1)
+        if any(map(math.isnan, real)):
+            assert math.isnan(sim)
+        else:
+            assert (sim is None) if not real else abs(sim - max(real)) < 6e-5

@@ -71,9 +71,10 @@ def verbosity_corr(scored: DataFrame, score: str, length: str = "n_chars") -> Da
     return scored.groupBy("model").agg(F.round(F.corr(length, score), 3).alias("corr"))
 
 
-def window_max(pairs: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Best window pair of each item, and whether there was more than one."""
-    return pairs.groupBy(*keys).agg(F.max(value).alias(value), (F.count(F.lit(1)) > 1).alias("chunked"))
+def window_max(pairs: DataFrame, keys: list[str], value: str, n: str | None = None) -> DataFrame:
+    """Best window pair of each item, and whether there was more than one; ``n``: how many pairs a row stands for."""
+    pairs_of = F.sum(n) if n else F.count(F.lit(1))
+    return pairs.groupBy(*keys).agg(F.max(value).alias(value), (pairs_of > 1).alias("chunked"))
 
 
 def only_wins(scored: DataFrame, correct: str, key: str = "id") -> DataFrame:

@@ -1,7 +1,10 @@
-"""TF-IDF vectors and cosine similarity inside blocks, by joins on terms."""
+"""TF-IDF vectors and cosine similarity inside blocks, by joins on terms; dense vectors by products of matrices."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,3 +80,75 @@ def neighbours(pairs: DataFrame, sources: DataFrame, k_cross: int = 2, k_same: i
     ranked = joined.withColumn("rank", best).withColumn("_c", any_cross)
     keep = (F.col("cross") & (F.col("rank") <= k_cross)) | (~F.col("cross") & (F.col("_c") == 0) & (F.col("rank") <= k_same))
     return ranked.filter(keep).select("block", "id", "other", "similarity", "cross", "rank")
+
+
+#: Vectors of a group that one task compares with as many others, and rows of the product that it holds at once.
+BLOCK, STRIP = 2048, 256
+
+
+def _unit(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of each length and their vectors of length 1 (NaN for zeros); rows without a whole vector are in none."""
+    lists = vectors.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    holes = np.repeat(np.arange(len(sizes)), sizes)[pc.is_null(flat).to_numpy(zero_copy_only=False)]
+    whole = sizes > 0
+    whole[holes] = False
+    values, starts = flat.cast(pa.float64()).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    out = {}
+    for n in np.unique(sizes[whole]).tolist():
+        at = np.flatnonzero(whole & (sizes == n))
+        x = values[starts[at][:, None] + np.arange(n)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[n] = at, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return out
+
+
+def _best(left: pa.Table, right: pa.Table, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of both the largest cosine with a row of the other (-inf: none); ``same``: within one, with rows of other ids."""
+    one, two = np.full(left.num_rows, -np.inf), np.full(right.num_rows, -np.inf)
+    ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+    columns = _unit(right["v"])
+    for n, (at, x) in _unit(left["v"]).items():
+        if n not in columns:
+            continue
+        to, y = columns[n]
+        for k in range(0, len(at), STRIP):
+            rows = at[k : k + STRIP]
+            sims = x[k : k + STRIP] @ y.T
+            if same:
+                sims[ids[rows][:, None] == others[to]] = -np.inf
+            one[rows] = np.maximum(one[rows], sims.max(axis=1))
+            two[to] = np.maximum(two[to], sims.max(axis=0))
+    return one, two
+
+
+def nearest(df: DataFrame, id_col: str, group: str, vector: str) -> DataFrame:
+    """(id, sim, n): rows of an id with its largest cosine in some blocks of its group, and the number of pairs there.
+
+    All pairs of a group with different ids, exactly.  Members are dealt to blocks by id and blocks meet
+    two by two, so the work of a large group is that of many tasks.  A pair counts, but has no similarity,
+    if a vector is null, empty or has nulls in it or if lengths differ; that with a vector of zeros is NaN.
+    """
+    own = df.select(F.col(id_col).alias("id"), F.col(group).alias("group"), F.col(vector).alias("v")).filter("id IS NOT NULL AND group IS NOT NULL")
+    sizes = own.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = own.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "id", "v")
+
+    def meet(table: pa.Table) -> pa.Table:
+        one, two = table["one"][0].as_py(), table["two"][0].as_py()
+        if one == two:
+            sims, _ = _best(table, table, True)
+            _, at, copies = np.unique(table["id"].to_numpy(), return_inverse=True, return_counts=True)
+            ids, counts = table["id"], table.num_rows - copies[at]
+        else:
+            left, right = table.filter(pc.equal(table["own"], one)), table.filter(pc.equal(table["own"], two))
+            sims = np.concatenate(_best(left, right, False))
+            ids = pa.chunked_array([*left["id"].chunks, *right["id"].chunks], table["id"].type)
+            counts = np.repeat([right.num_rows, left.num_rows], [left.num_rows, right.num_rows])
+        found = pa.table({"id": ids, "sim": pa.array(sims, mask=np.isneginf(sims)), "n": pa.array(counts, pa.int64())})
+        return found.filter(pc.greater(found["n"], 0))
+
+    return dealt.groupBy("group", "one", "two").applyInArrow(meet, f"id {df.schema[id_col].dataType.simpleString()}, sim double, n long")

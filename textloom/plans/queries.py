@@ -533,12 +533,8 @@ def rouge_l(spark, d):
 FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT id, round(max(sim), 4) AS sim, count(*) > 1 AS chunked FROM p GROUP BY id"""
 )
 def window_max_cosine(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    a = e.select(F.col("vec_id").alias("id"), "label", F.col("v").alias("a"))
-    b = e.select(F.col("vec_id").alias("o"), "label", F.col("v").alias("b"))
-    sims = a.join(b, "label").filter("id <> o").select("id", (dot(F.col("a"), F.col("b")) / F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))).alias("sim"))
-    return report.window_max(sims, ["id"], "sim").withColumn("sim", F.round("sim", 4))
+    sims = similarity.nearest(table(spark, d, "embeddings"), "vec_id", "label", "embedding")
+    return report.window_max(sims, ["id"], "sim", "n").withColumn("sim", F.round("sim", 4))
 
 
 @query(f"SELECT doc_id, {STRIP_SQL.format('text')} AS answer FROM documents")
