@@ -373,6 +373,25 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, block):
     assert {r[0]: (r[1], r[2]) for r in found.collect()} == want
 
 
+def test_jaccard_join_without_broadcasts(spark, monkeypatch):
+    """What may be broadcast is small, and shuffles with hubs apart give the same."""
+    assert jaccard_join.BROADCAST_ROWS * 80 <= 16 << 20
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "HUB_LEAST", 6)
+    monkeypatch.setattr(jaccard_join, "FEW_EDGES", 0)
+    rng = random.Random(5)
+    # Pairs inside a base are near or not; the bases share a beginning, so regions stay open.
+    begin, rows = [rng.choice("abcd") for _ in range(12)], [(1, None), (2, "one two")]
+    for base in range(5):
+        words = begin + [rng.choice("efghijkl") for _ in range(40)]
+        for _ in range(9):
+            words = [rng.choice("xyz") if rng.random() < 0.02 else w for w in words]
+            rows.append((10 + len(rows), " ".join(words)))
+    want = brute_components(rows, 3, 80, 100)
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=80)
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("least", [1000, 3])
 def test_components_with_hubs(spark, monkeypatch, least):
     monkeypatch.setattr(jaccard_join, "HUB_LEAST", least)
@@ -387,6 +406,15 @@ def test_components_with_hubs(spark, monkeypatch, least):
     assert got == {i: k for i, k in label.items() if any(a != b and i in (a, b) for a, b in edges)}
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW_EDGES", few)
+    monkeypatch.setattr(jaccard_join, "HUB_LEAST", 3)
+    edges = [(1, 7), (7, 9), (4, 3), (3, 4), (5, 5), (20, 9), (30, 31)]
+    got = {r["id"]: r["component"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 7: 1, 9: 1, 20: 1, 3: 3, 4: 3, 30: 30, 31: 30}
+
+
 def test_jaccard_query(spark, docs, none):
     want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 85, 100)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op9_pivot_jaccard(spark, DATA).collect()} == want

@@ -51,10 +51,12 @@ PARTS = 256
 COARSE = 8
 #: Members of a region that one task compares with one another.
 BLOCK = 4096
-#: Rows of two numbers that may be broadcast; beyond, a shuffle joins.
-BROADCAST_ROWS = 2_000_000
-#: A node with one in HUB_PARTS of the rows of edges, and this many at least, is a hub.
+#: Rows of two numbers that may be broadcast (about 16 MB of the driver); beyond, a shuffle joins.
+BROADCAST_ROWS = 200_000
+#: A node with one in HUB_PARTS of the rows of edges, and this many at least, is a hub; so is a cell with as many of the rows of cells.
 HUB_PARTS, HUB_LEAST = 4096, 1000
+#: Edges that one task settles; every round of ``components`` on more leaves some MB of plans and tasks in the driver.
+FEW_EDGES = 50_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -136,6 +138,23 @@ def _pick(rows: DataFrame, keys: DataFrame, on: str, size: int) -> DataFrame:
     return rows.join(F.broadcast(keys) if size <= BROADCAST_ROWS else keys, on)
 
 
+def _pick_cells(rows: DataFrame, regions: DataFrame, size: int) -> DataFrame:
+    """``rows`` of the cells of ``regions``, with the columns of these.
+
+    Beyond ``BROADCAST_ROWS`` a shuffle joins, and only the hubs - at most ``HUB_PARTS`` -
+    are broadcast, so the members of a large region don't meet in one task.
+    """
+    if size <= BROADCAST_ROWS:
+        return _pick(rows, regions, "cell", size)
+    total = regions.agg(F.sum("members")).first()[0]
+    hub = F.col("members") >= max(HUB_LEAST, -(-total // HUB_PARTS))
+    if regions.filter(hub).isEmpty():
+        return rows.join(regions, "cell")
+    hubs = F.broadcast(regions.filter(hub))
+    rest = rows.join(F.broadcast(regions.filter(hub).select("cell")), "cell", "left_anti")
+    return rows.join(hubs, "cell").unionByName(rest.join(regions.filter(~hub), "cell"))
+
+
 def _decide(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of ids whose whole sets are near."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().persist(StorageLevel.DISK_ONLY)
@@ -165,6 +184,26 @@ def _decide(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
     return found
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``components`` of edges (u, v) that one task holds."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = root(up.setdefault(u, u)), root(up.setdefault(v, v))
+            up[max(p, q)] = min(p, q)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["id", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable, for every id on an edge (a, b).
 
@@ -172,9 +211,13 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones, are tied to the smallest of its neighbourhood.  The minima of nodes
     that hold at least one row in ``HUB_PARTS`` - there are at most that many - go to
     the rows by a broadcast, so the middle of a large group isn't one task's work.
+    ``FEW_EDGES`` edges or fewer are settled in one task.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = (now.count(), None)
+    if mark[0] <= FEW_EDGES:
+        kind = now.schema["u"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(_settle, f"id {kind}, component {kind}")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
@@ -187,6 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = cut(small.filter("u <> v").distinct())
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 30))).first()
+        release(now.sparkSession)
         if new == mark:
             break
         mark = new
@@ -282,7 +326,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_regions = regions.count()
     release(spark)
     stars = (
-        _pick(sets.select("id", F.explode("prefix").alias("cell")), regions.select("cell", "pivot"), "cell", n_regions)
+        _pick_cells(sets.select("id", F.explode("prefix").alias("cell")), regions, n_regions)
         .filter("id <> pivot")
         .groupBy("id", "pivot")
         .agg(F.count(F.lit(1)).alias("shared"))
@@ -307,12 +351,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # What each region still holds of different components.
     tagged = sets.join(labels, "id", "left").select("id", "n", "vec", "prefix", F.coalesce("component", "id").alias("comp"))
-    mixed = _pick(tagged.select("comp", F.explode("prefix").alias("cell")), regions.select("cell", "members"), "cell", n_regions)
-    open_regions = cut(
-        mixed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("members")).filter("lo <> hi").select("cell", "members")
-    )
+    mixed = tagged.select("comp", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+    open_regions = cut(mixed.filter("lo <> hi").select("cell", "members"))
     n_open = open_regions.count()
-    rows = _pick(tagged.select("id", "n", "vec", "comp", F.explode("prefix").alias("cell")), open_regions, "cell", n_open)
+    del mixed
+    release(spark)
+    if n_open <= BROADCAST_ROWS:
+        rows = _pick_cells(tagged.select("id", "n", "vec", "comp", F.explode("prefix").alias("cell")), open_regions, n_open)
+    else:  # points get their cells as one array, so that no row but an open one carries their parts through a shuffle
+        held = _pick_cells(sets.select("id", F.explode("prefix").alias("cell")), open_regions, n_open)
+        held = held.groupBy("id").agg(F.collect_list(F.struct("cell", "members")).alias("held"))
+        rows = tagged.select("id", "n", "vec", "comp").join(held, "id").select("id", "n", "vec", "comp", F.explode("held").alias("h")).select("id", "n", "vec", "comp", "h.*")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -355,7 +404,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = rows.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(join, f"a {kind}, b {kind}, needed long")
     met = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
     rest = cut(met.filter("shared >= needed").select("a", "b"))
-    del met, rows, mixed
+    del met, rows
     release(spark)
     more = _decide(rest, source, width, num, den)
     final = components(links.union(more))
