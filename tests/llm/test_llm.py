@@ -421,6 +421,57 @@ def test_jaccard_query(spark, docs, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_join_gives_a_pair_out_once(spark, monkeypatch):
+    """Sets of similarity 0.5 to 0.8 share many regions; they meet in these, and are one row, or a few, and not one for each region."""
+    rng = random.Random(11)
+    rows = []
+    for base in range(4):
+        words = [rng.choice("abcdefghijkl") * rng.randint(1, 3) for _ in range(600)]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(rng.choice("xyz") if rng.random() < 0.025 else w for w in words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = []
+    group_by = type(frame).groupBy
+
+    def spied(self, *cols):
+        if cols == ("a", "b"):
+            counts.append((self.count(), self.select("a", "b").distinct().count()))
+        return group_by(self, *cols)
+
+    monkeypatch.setattr(type(frame), "groupBy", spied)
+    found = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_join(frame, width=3, num=80).collect()}
+    assert found == brute_components(rows, 3, 80, 100)
+    (made, pairs), *_ = counts
+    assert pairs >= 10 and made <= 4 * pairs, counts
+
+
+@pytest.mark.parametrize(("flush", "together"), [(7, 5), (20_000, 5), (7, 16_384)])
+def test_jaccard_join_in_parts(spark, monkeypatch, flush, together):
+    """Groups of regions that go on over calls, or are dealt to several tasks, give the same."""
+    monkeypatch.setattr(jaccard_join, "FLUSH", flush)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+    rng = random.Random(12)
+    rows = []
+    for base in range(4):
+        words = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(rng.choice("xyz") if rng.random() < 0.03 else w for w in words)))
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=80)
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == brute_components(rows, 3, 80, 100)
+
+
+def test_jaccard_ranks_in_full_buckets(spark, monkeypatch):
+    """A shingle of many documents ranks behind those of one also where every bucket holds some."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_BITS", 14)
+    rng = random.Random(13)
+    texts = [" ".join(["this", "stands", "in", "many", *(str(rng.randrange(10**9)) for _ in range(400))]) for _ in range(400)]
+    common = jaccard_join.shingle_sets(["this stands in many"], 4)[0][0]
+    texts += ["this stands in many"] * 20
+    texts = texts[:12] + [t.partition("many ")[2] for t in texts[12:400]] + texts[400:]
+    classes = jaccard_join._sketch(spark.createDataFrame([(t,) for t in texts], "text string"), 4)
+    assert classes[int(common) >> 50] > np.median(classes)
+
+
 def test_jaccard_null_and_repeated_ids(odd):
     rows = jaccard_join.jaccard_join(odd).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in rows if r["doc_id"]) == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 4), (5, 3)]

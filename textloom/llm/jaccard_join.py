@@ -15,7 +15,9 @@ so windows around document pivots hold everything (README has figures).  Therefo
   windows: the distances of two near sets to a common point differ by no more than
   theirs.  The points are the empty set (sizes), the ``PARTS`` parts of the shingle
   space (counts, in the metric of symmetric differences).  Regions of many members
-  are dealt to blocks, and blocks join two by two;
+  are dealt to blocks, and blocks join two by two.  Two sets that aren't near can still
+  meet in a hundred regions; regions of the same components are joined by one task,
+  which counts how often a pair met in them and gives it out once;
 * two near sets share so many of their first pivots that what lies beyond these can
   make up the rest; pairs that met in fewer regions go;
 * the pairs that remain are decided by intersecting the whole sets.
@@ -51,7 +53,11 @@ PARTS = 256
 COARSE = 8
 #: Members of a region that one task compares with one another.
 BLOCK = 4096
-#: Rows of two numbers that may be broadcast (about 16 MB of the driver); beyond, a shuffle joins.
+#: Rows of regions with the same lowest and highest component that one task joins together; of more, each part.
+TOGETHER = 16_384
+#: Rows of a join that one call handles.
+FLUSH = 20_000
+#: Rows of a few numbers that may be broadcast (about 16 MB of the driver); beyond, a shuffle joins.
 BROADCAST_ROWS = 200_000
 #: A node with one in HUB_PARTS of the rows of edges, and this many at least, is a hub; so is a cell with as many of the rows of cells.
 HUB_PARTS, HUB_LEAST = 4096, 1000
@@ -89,7 +95,11 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Rank class of every bucket of shingles: 0 where rare, then the logarithm of how much more often than average."""
+    """Rank class of every bucket of shingles: twelfths of the logarithm of how often its shingles occur.
+
+    Buckets hold many shingles in large tables, so their counts lie close together; classes of
+    whole powers of two would rank a shingle of dozens of documents with those of one.
+    """
     block = 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +125,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for row in first.groupBy("part").applyInArrow(add, "part int, counts binary").toLocalIterator():
         total[row["part"] * block : (row["part"] + 1) * block] = np.frombuffer(row["counts"], dtype="<i8")
-    level = max(2.0, 2 * float(total.mean()))
-    return np.log2(np.maximum(total / level, 1)).astype(np.uint8)
+    return np.minimum(np.round(12 * np.log2(1 + total)), 255).astype(np.uint8)
 
 
 def _spread(sets: np.ndarray) -> bytes:
@@ -277,6 +286,28 @@ def _windows(cells: np.ndarray, n: np.ndarray, comp: np.ndarray, spreads: tuple[
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
 
 
+def _once(ids: np.ndarray, i: np.ndarray, j: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of ids among those at ``i`` and ``j`` once, the smaller first: how often it is there, and the least that it needed."""
+    own, place = np.unique(ids, return_inverse=True)
+    p, q = place[i], place[j]
+    code = np.minimum(p, q) * len(own) + np.maximum(p, q)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(needed[order], first) if len(code) else needed
+    return own[code[first] // max(len(own), 1)], own[code[first] % max(len(own), 1)], np.diff(np.append(first, len(code))), least
+
+
+def _groups(regions: DataFrame) -> DataFrame:
+    """``regions`` (cell, members, lo, hi) as (cell, members, group): those of the same two components in groups of about ``TOGETHER`` rows."""
+    regions = regions.select("cell", "members", F.xxhash64("lo", "hi").alias("key"))
+    # There is at most one such key for every TOGETHER rows.
+    heavy = regions.groupBy("key").agg(F.sum("members").alias("load")).filter(F.col("load") > TOGETHER)
+    parts = F.ceil(F.col("load") / F.lit(TOGETHER))
+    found = regions.join(F.broadcast(heavy), "key", "left")
+    return found.select("cell", "members", F.when(F.col("load").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("cell"), parts))).alias("group"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """id, n_shingles and component_id of every document; links are at a similarity of ``num / den`` or more."""
     spark = docs.sparkSession
@@ -352,7 +383,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # What each region still holds of different components.
     tagged = sets.join(labels, "id", "left").select("id", "n", "vec", "prefix", F.coalesce("component", "id").alias("comp"))
     mixed = tagged.select("comp", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
-    open_regions = cut(mixed.filter("lo <> hi").select("cell", "members"))
+    open_regions = cut(_groups(cut(mixed.filter("lo <> hi"))))
     n_open = open_regions.count()
     del mixed
     release(spark)
@@ -360,12 +391,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = _pick_cells(tagged.select("id", "n", "vec", "comp", F.explode("prefix").alias("cell")), open_regions, n_open)
     else:  # points get their cells as one array, so that no row but an open one carries their parts through a shuffle
         held = _pick_cells(sets.select("id", F.explode("prefix").alias("cell")), open_regions, n_open)
-        held = held.groupBy("id").agg(F.collect_list(F.struct("cell", "members")).alias("held"))
+        held = held.groupBy("id").agg(F.collect_list(F.struct("cell", "members", "group")).alias("held"))
         rows = tagged.select("id", "n", "vec", "comp").join(held, "id").select("id", "n", "vec", "comp", F.explode("held").alias("h")).select("id", "n", "vec", "comp", "h.*")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
+        "group",
         "cell",
         F.least("own", "with").alias("one"),
         F.greatest("own", "with").alias("two"),
@@ -382,27 +414,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spreads = _spreads(table["vec"].to_pylist())
             n = col("n").astype(np.int64)
             i, j = _windows(key, n, col("comp"), spreads, col("side"), num, den)
-            a, b = col("id")[i], col("id")[j]
+            a, b, shared, needed = _once(col("id"), i, j, _needed(n[i], n[j], num, den))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b), table["id"].type), pa.array(np.maximum(a, b), table["id"].type), pa.array(_needed(n[i], n[j], num, den), pa.int64())], names=["a", "b", "needed"]
+                [pa.array(a, table["id"].type), pa.array(b, table["id"].type), pa.array(shared, pa.int64()), pa.array(needed, pa.int64())], names=["a", "b", "shared", "needed"]
             )
 
-        def runs(table: pa.Table) -> np.ndarray:
-            return np.flatnonzero((np.diff(table["cell"].to_numpy()) != 0) | (np.diff(table["one"].to_numpy()) != 0) | (np.diff(table["two"].to_numpy()) != 0))
+        def ends(table: pa.Table, *by: str) -> np.ndarray:
+            return np.flatnonzero(np.logical_or.reduce([np.diff(table[k].to_numpy()) != 0 for k in by]))
 
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) >= 20_000:
+            if sum(x.num_rows for x in held) >= FLUSH:
                 table = pa.Table.from_batches(held)
-                last = runs(table)
-                if len(last):  # the last run may go on in the next batch
+                # The last group may go on in the next batch; so may the last run, if all rows are of one group.
+                last = ends(table, "group", "one", "two")
+                if not len(last):
+                    last = ends(table, "cell")
+                if len(last):
                     yield flush(table.slice(0, int(last[-1]) + 1))
                     held = table.slice(int(last[-1]) + 1).to_batches()
         if held and (table := pa.Table.from_batches(held)).num_rows:
             yield flush(table)
 
-    rest = rows.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(join, f"a {kind}, b {kind}, needed long")
-    met = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
+    order = ("group", "one", "two", "cell")
+    rest = rows.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(join, f"a {kind}, b {kind}, shared long, needed long")
+    # Points of one id may need different numbers.
+    met = rest.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
     rest = cut(met.filter("shared >= needed").select("a", "b"))
     del met, rows
     release(spark)
