@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, text_slices
+from .common import giving_back, mix64, text_slices
 from .segments import SegmentEncoder, gather
 
 #: Bytes of text that a worker encodes at once, and pieces whose tables it fills at once.
@@ -525,7 +525,7 @@ def encode(
                     columns.append(encoder.decode(ids, counts))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, ids_col, *([decoded_col] if decoded_col else [])])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(giving_back(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded", pattern: str = ".") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +114,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a batch that Spark hands to a Python worker; it and the JVM hold some at once.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most about ``ARROW_BYTES`` for Python workers of this session; a smaller setting stays.
+
+    Spark's own limit is a number of rows, 10000, which is 30 MB of ordinary documents.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(key)
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system; else an idle worker keeps that of its largest batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that ends with :func:`give_back`."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 #: Bytes of text that a worker handles before it hands a batch on.
 BATCH_BYTES = 8 << 20
 

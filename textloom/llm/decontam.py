@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import giving_back, text_slices
 
 WINDOW = 10
 SAMPLE = 8
@@ -290,7 +290,7 @@ def find(
                         columns.append(pa.array([cut_spans(x, s) if s else x for x, s in zip(batch.column(at).to_pylist(), merged, strict=True)], pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, *OWN, *([cut_col] if cut else [])])
 
-        return frame.mapInArrow(run, T.StructType([*schema.fields, T.StructField(cut_col, T.StringType())]) if cut else schema)
+        return frame.mapInArrow(giving_back(run), T.StructType([*schema.fields, T.StructField(cut_col, T.StringType())]) if cut else schema)
 
     found, first = docs.select(*names), True
     held = None

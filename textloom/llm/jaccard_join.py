@@ -45,7 +45,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_root, cut, mix64, release, remove_folder, text_slices
+from .common import checkpoint_root, cut, giving_back, mix64, release, remove_folder, text_slices
 
 BUCKET_BITS = 21
 PARTS = 256
@@ -118,7 +118,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             total += np.frombuffer(x, dtype="<i8") if len(x) == 8 * block else np.frombuffer(x, dtype="<u2")
         return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    parts = docs.mapInArrow(count, "part int, counts binary")
+    parts = docs.mapInArrow(giving_back(count), "part int, counts binary")
     # Two rounds of sums: a task adds up 64 partial sketches at most times the number of parts over 64.
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
     first = salted.groupBy("part", "salt").applyInArrow(lambda t: add(t.select(["part", "counts"])), "part int, counts binary")
@@ -185,10 +185,10 @@ def _decide(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
                 keep.append(den * both >= num * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    chosen = _pick(docs, ids, "id", size).mapInArrow(sets, f"id {kind}, set binary")
+    chosen = _pick(docs, ids, "id", size).mapInArrow(giving_back(sets), f"id {kind}, set binary")
     left = chosen.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = chosen.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    found = cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(near, f"a {kind}, b {kind}"))
+    found = cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(giving_back(near), f"a {kind}, b {kind}"))
     ids.unpersist()
     return found
 
@@ -226,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = (now.count(), None)
     if mark[0] <= FEW_EDGES:
         kind = now.schema["u"].dataType.simpleString()
-        return now.coalesce(1).mapInArrow(_settle, f"id {kind}, component {kind}")
+        return now.coalesce(1).mapInArrow(giving_back(_settle), f"id {kind}, component {kind}")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
@@ -336,7 +336,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     folder = f"{root.rstrip('/')}/textloom-jaccard-{xxhash.xxh3_64_hexdigest(str(id(docs)) + str(np.random.default_rng().integers(1 << 62)))}"
-    every.mapInArrow(points, f"id {kind}, n int, key binary, vec binary, prefix array<long>").write.parquet(folder)
+    every.mapInArrow(giving_back(points), f"id {kind}, n int, key binary, vec binary, prefix array<long>").write.parquet(folder)
     stored = spark.read.parquet(folder)
 
     # One point for each distinct set: the smallest id of those that have it.  Groups of copies meet in partial sums.
@@ -375,7 +375,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Pairs with little in common are left to the join of the regions.
     spokes = stars.join(thin, "id").join(other, "pivot").filter(F.lit(den - num) * (F.col("n") + F.col("m")) >= F.lit(den + num) * F.abs(F.col("n") - F.col("m")))
     spokes = spokes.filter(F.col("shared") >= _needed(F.col("n"), F.col("m"), num, den))
-    spokes = cut(spokes.select("id", "pivot", "n", "m", "vec", "y").mapInArrow(close, f"a {kind}, b {kind}"))
+    spokes = cut(spokes.select("id", "pivot", "n", "m", "vec", "y").mapInArrow(giving_back(close), f"a {kind}, b {kind}"))
     links = _decide(spokes, source, width, num, den)
     labels = components(links)
     release(spark)
@@ -437,7 +437,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield flush(table)
 
     order = ("group", "one", "two", "cell")
-    rest = rows.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(join, f"a {kind}, b {kind}, shared long, needed long")
+    rest = rows.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(giving_back(join), f"a {kind}, b {kind}, shared long, needed long")
     # Points of one id may need different numbers.
     met = rest.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
     rest = cut(met.filter("shared >= needed").select("a", "b"))

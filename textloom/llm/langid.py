@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, text_slices
+from .common import giving_back, mix64, text_slices
 
 BITS = 18
 FIT_DOCS = 600
@@ -314,4 +314,4 @@ def predict(
                     columns.append(pa.array(pairs, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *out, *([words_col] if words_col else [])])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(giving_back(run), schema)
