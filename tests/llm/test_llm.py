@@ -837,7 +837,6 @@ def test_pipeline_stages_on_odd_rows(spark):
 def test_pipeline_hands_small_batches_to_workers(spark):
     """Spark's limit is 10000 rows, whatever their length; the stages' limit is in bytes, and a smaller one stays."""
     import corpus_pipeline
-    from textloom.llm import common
 
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -848,8 +847,8 @@ def test_pipeline_hands_small_batches_to_workers(spark):
     try:
         docs = spark.createDataFrame([(i, "word " * 1000) for i in range(4000)], "doc_id long, text string").coalesce(1)
         corpus_pipeline.tokens(spark, docs, DATA)
-        sizes = [r["n"] for r in docs.mapInArrow(common.giving_back(largest), "n long").collect()]
-        assert len(sizes) > 1 and max(sizes) <= common.ARROW_BYTES + 10_000
+        sizes = [r["n"] for r in docs.mapInArrow(largest, "n long").collect()]
+        assert len(sizes) > 1 and max(sizes) <= (4 << 20) + 10_000
         spark.conf.set(key, "100000")
         corpus_pipeline.tokens(spark, docs, DATA)
         assert spark.conf.get(key) == "100000"
