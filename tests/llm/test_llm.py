@@ -445,6 +445,30 @@ def test_jaccard_join_gives_a_pair_out_once(spark, monkeypatch):
     assert pairs >= 10 and made <= 4 * pairs, counts
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch, broadcast):
+    """Most copies are near to few of the others, so one pivot ties few of them; pairs that meet don't grow with the square of the group."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(jaccard_join, "HUB_LEAST", 100)
+    rng = random.Random(13)
+    words = [rng.choice("abcdefghijkl") * rng.randint(1, 6) for _ in range(150)]
+    rows = [(7 * i, " ".join(rng.choice("uvwxyz") * 3 + str(rng.randrange(99)) if rng.random() < 0.02 else w for w in words)) for i in range(300)]
+    rows += [(10_000 + i, f"{i} other words {i * i} of no copy {i} at all") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = []
+    group_by = type(frame).groupBy
+
+    def spied(self, *cols):
+        if cols == ("a", "b"):
+            counts.append(self.count())
+        return group_by(self, *cols)
+
+    monkeypatch.setattr(type(frame), "groupBy", spied)
+    found = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_join(frame, width=5, num=80).collect()}
+    assert found == brute_components(rows, 5, 80, 100)
+    assert counts[0] <= 10 * len(rows), counts
+
+
 @pytest.mark.parametrize(("flush", "together"), [(7, 5), (20_000, 5), (7, 16_384)])
 def test_jaccard_join_in_parts(spark, monkeypatch, flush, together):
     """Groups of regions that go on over calls, or are dealt to several tasks, give the same."""

@@ -11,6 +11,9 @@ so windows around document pivots hold everything (README has figures).  Therefo
   regions of just these;
 * inside a region a document pivot (the smallest id) is compared first; all members
   within the radius become one component with it;
+* in a large group of copies of one text many are near to few of the others' pivots, so
+  regions of many members and several components are compared with more pivots, in
+  rounds, as long as each takes a share of the pairs that are left between components;
 * what a region then holds of different components is joined by triangle-inequality
   windows: the distances of two near sets to a common point differ by no more than
   theirs.  The points are the empty set (sizes), the ``PARTS`` parts of the shingle
@@ -53,6 +56,9 @@ PARTS = 256
 COARSE = 8
 #: Members of a region that one task compares with one another.
 BLOCK = 4096
+#: Document pivots of a region in each further round, members of the regions that have these rounds, and the
+#: pairs between components for each of their rows up to which the join of the regions follows at once.
+PIVOTS, WIDE, PAIRS_A_ROW = 8, 32, 4
 #: Rows of regions with the same lowest and highest component that one task joins together; of more, each part.
 TOGETHER = 16_384
 #: Rows of a join that one call handles.
@@ -308,6 +314,31 @@ def _groups(regions: DataFrame) -> DataFrame:
     return found.select("cell", "members", F.when(F.col("load").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("cell"), parts))).alias("group"))
 
 
+def _pivots(rows: DataFrame, regions: DataFrame, size: int, number: int) -> DataFrame:
+    """(id, pivot, shared) of the points in ``rows`` (id, cell) with the pivots of round ``number``, and in how many regions they met.
+
+    Orders of ids by hashes give the pivots, the same order in all regions, so that
+    regions of the same points tend to have the same pivots.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    ranked = [F.min_by("id", F.xxhash64("id", F.lit(number * PIVOTS + k))) for k in range(PIVOTS)]
+    chosen = cut(rows.groupBy("cell").agg(F.array_distinct(F.array(*ranked)).alias("pivots")).join(regions.select("cell", "members"), "cell"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            own = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+            coded = lists.flatten().dictionary_encode()
+            most = max(len(coded.dictionary), 1)
+            code, times = np.unique(own * most + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(code // most)), coded.dictionary.take(pa.array(code % most)), pa.array(times, pa.int64())], names=["id", "pivot", "shared"]
+            )
+
+    held = _pick_cells(rows, chosen, size).groupBy("id").agg(F.flatten(F.collect_list("pivots")).alias("pivots"))
+    return held.mapInArrow(giving_back(count), f"id {kind}, pivot {kind}, shared long").filter("id <> pivot")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """id, n_shingles and component_id of every document; links are at a similarity of ``num / den`` or more."""
     spark = docs.sparkSession
@@ -372,20 +403,57 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
     other = thin.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("vec").alias("y"))
-    # Pairs with little in common are left to the join of the regions.
-    spokes = stars.join(thin, "id").join(other, "pivot").filter(F.lit(den - num) * (F.col("n") + F.col("m")) >= F.lit(den + num) * F.abs(F.col("n") - F.col("m")))
-    spokes = spokes.filter(F.col("shared") >= _needed(F.col("n"), F.col("m"), num, den))
-    spokes = cut(spokes.select("id", "pivot", "n", "m", "vec", "y").mapInArrow(giving_back(close), f"a {kind}, b {kind}"))
-    links = _decide(spokes, source, width, num, den)
+
+    def near_pivots(stars: DataFrame) -> DataFrame:
+        """Links among (id, pivot, shared); pairs with little in common are left to the join of the regions."""
+        spokes = stars.join(thin, "id").join(other, "pivot").filter(F.lit(den - num) * (F.col("n") + F.col("m")) >= F.lit(den + num) * F.abs(F.col("n") - F.col("m")))
+        spokes = spokes.filter(F.col("shared") >= _needed(F.col("n"), F.col("m"), num, den))
+        spokes = cut(spokes.select("id", "pivot", "n", "m", "vec", "y").mapInArrow(giving_back(close), f"a {kind}, b {kind}"))
+        return _decide(spokes, source, width, num, den)
+
+    links = near_pivots(stars)
     labels = components(links)
     release(spark)
 
-    # What each region still holds of different components.
-    tagged = sets.join(labels, "id", "left").select("id", "n", "vec", "prefix", F.coalesce("component", "id").alias("comp"))
-    mixed = tagged.select("comp", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
-    open_regions = cut(_groups(cut(mixed.filter("lo <> hi"))))
+    def labelled(points: DataFrame) -> DataFrame:
+        return points.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def mixed() -> DataFrame:
+        """What regions still hold of different components."""
+        cells = labelled(sets.select("id", "prefix")).select("comp", F.explode("prefix").alias("cell"))
+        found = cells.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+        return cut(found.filter("lo <> hi"))
+
+    # Regions of many members meet more pivots first.
+    still = mixed()
+    wide = still.filter(F.col("members") >= WIDE).select("cell", "members")
+    n_wide = wide.count()
+    if n_wide:
+        held = cut(_pick_cells(sets.select("id", F.explode("prefix").alias("cell")), wide, n_wide).select("id", "cell"))
+        last, number, merged = None, 0, False
+        while True:
+            of = labelled(held).groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k"))
+            left = cut(of.groupBy("cell").agg(F.sum("k").alias("members"), F.sum(F.col("k") * F.col("k")).alias("same")).filter("same < members * members"))
+            n_left, rows, pairs = left.agg(F.count(F.lit(1)), F.sum("members"), F.sum((F.col("members") * F.col("members") - F.col("same")) / F.lit(2))).first()
+            release(spark)
+            # A round that leaves more than three quarters of the pairs is the last: these are of texts that aren't near.
+            if not n_left or pairs <= PAIRS_A_ROW * rows or (last is not None and pairs > 0.75 * last):
+                break
+            own = _pick_cells(held, left.select("cell", "members"), n_left).select("id", "cell")
+            told = labelled(_pivots(own, left, n_left, number)).withColumnRenamed("comp", "one")
+            both = told.join(labels.select(F.col("id").alias("pivot"), "component"), "pivot", "left").filter(F.col("one") != F.coalesce("component", "pivot"))
+            new = near_pivots(both.select("id", "pivot", "shared"))
+            if new.isEmpty():
+                break
+            links, last, number, merged = links.union(new), pairs, number + 1, True
+            labels = components(links)
+            release(spark)
+        if merged:
+            still = mixed()
+
+    tagged = labelled(sets.select("id", "n", "vec", "prefix"))
+    open_regions = cut(_groups(still))
     n_open = open_regions.count()
-    del mixed
     release(spark)
     if n_open <= BROADCAST_ROWS:
         rows = _pick_cells(tagged.select("id", "n", "vec", "comp", F.explode("prefix").alias("cell")), open_regions, n_open)
