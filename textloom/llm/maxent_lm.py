@@ -9,7 +9,7 @@ of two subclasses along its path.  Each of these is a logistic model: the logari
 the ratio of the subclasses' counts, plus a weight for each feature of the tokens
 before.  Features: the word before, the endings of the two words before together
 (n-grams), and the endings two and three words back (skips); feature and node are
-hashed to one weight.  Weights reach from the classes down to single frequent words
+hashed to one weight, next to those of the feature for the nodes around.  Weights reach from the classes down to single frequent words
 (the ``nodes_of`` heaviest nodes); below, subclasses have their share of the counts.
 The rarer words of a class are one leaf of it, in which a word has its smoothed share,
 and words that training hasn't seen share one smoothed event; so probabilities sum to 1.
@@ -69,6 +69,8 @@ SMOOTH = 0.1
 #: The end token; no word is empty.
 END = ""
 TEMPLATES = 4
+#: Nodes of a block of the tree, as a power of two; the weights of a feature for a block lie side by side, in one or two lines of the cache.
+BLOCK_BITS = 4
 _NODE = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -181,6 +183,30 @@ def _halves(vectors: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return right
 
 
+def _blocks(inner: list[tuple[int, int, float, float]], heavy: list[int]) -> dict[int, int]:
+    """Numbers of the ``heavy`` nodes, the heaviest first: each block of numbers is a subtree, so a path passes few blocks."""
+    weighted, under = set(heavy), {c for i in heavy for c in inner[i][:2]}
+    tops = [i for i in heavy if i not in under]
+    number: dict[int, int] = {}
+    block = 0
+    while tops:
+        later = []
+        for top in tops:
+            near = [(-inner[top][2] - inner[top][3], top)]
+            for place in range(1 << BLOCK_BITS):
+                if not near:
+                    break
+                i = heapq.heappop(near)[1]
+                number[i] = (block << BLOCK_BITS) + place
+                for c in inner[i][:2]:
+                    if c in weighted:
+                        heapq.heappush(near, (-inner[c][2] - inner[c][3], c))
+            later += [i for _, i in near]
+            block += 1
+        tops = later
+    return number
+
+
 def build(classes: list[str | None], contexts: np.ndarray, rare: list[tuple[float, int]], words: list[tuple[str, int, int]], weighted: int) -> Lexicon:
     """The tree.
 
@@ -233,8 +259,10 @@ def build(classes: list[str | None], contexts: np.ndarray, rare: list[tuple[floa
 
     root = cluster(np.arange(len(classes)))[1]
     heavy = sorted(range(len(inner)), key=lambda i: (-inner[i][2] - inner[i][3], i))[:weighted]
-    number = {i: n for n, i in enumerate(heavy)}
-    out.bias = np.array([math.log(inner[i][3] / inner[i][2]) for i in heavy], dtype=np.float32)
+    number = _blocks(inner, heavy)
+    out.bias = np.zeros(max(number.values(), default=-1) + 1, dtype=np.float32)
+    for i, n in number.items():
+        out.bias[n] = math.log(inner[i][3] / inner[i][2])
     out.counts, out.rare = np.array(counts, dtype=np.float64), np.array(is_rare)
     out.at, out.size = np.zeros(len(leaf_mass), np.int64), np.zeros(len(leaf_mass), np.int64)
     out.constant = np.array(scale)
@@ -265,6 +293,14 @@ def build(classes: list[str | None], contexts: np.ndarray, rare: list[tuple[floa
     return out
 
 
+def _aligned(values: np.ndarray) -> np.ndarray:
+    """A copy as float32 that begins with a line of the cache, as blocks of weights then do."""
+    raw = np.empty(len(values) + 16, np.float32)
+    at = (-raw.ctypes.data // 4) % 16
+    raw[at : at + len(values)] = values
+    return raw[at : at + len(values)]
+
+
 class Weights:
     """The hashed weights and the curvature that each has met."""
 
@@ -273,11 +309,12 @@ class Weights:
         self.weights = np.zeros(1 << bits, np.float32) if weights is None else weights
         self.met = np.zeros(1 << bits, np.float32) if met is None else met
 
-    def slots(self, codes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        mixed = nodes * _NODE
-        mixed += codes
+    def slots(self, codes: np.ndarray, blocks: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Where the weights of features and nodes are; a node is given by its scrambled block and its place there."""
+        mixed = blocks + codes
         mixed *= _SLOT
         mixed >>= np.uint64(64 - self.bits)
+        mixed ^= places
         return mixed.view(np.int64)
 
     def _paths(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray):
@@ -285,10 +322,13 @@ class Weights:
         step = spans(lexicon.at[leaf], size)
         node = lexicon.nodes[step]
         wide = node.astype(np.uint64)
-        slots = [self.slots(np.repeat(own, size), wide) for own in codes]
+        places = wide & np.uint64((1 << BLOCK_BITS) - 1)
+        wide >>= np.uint64(BLOCK_BITS)
+        wide *= _NODE
+        slots = [self.slots(np.repeat(own, size), wide, places) for own in codes]
         z = lexicon.bias[node]
         for own in slots:
-            z += self.weights[own]
+            z += self.weights.take(own)
         return size, slots, z, lexicon.right[step]
 
     def log_probs(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -322,7 +362,9 @@ class Weights:
             for s in slots:
                 np.add.at(self.met, s, curved)
             for s in slots:
-                np.add.at(self.weights, s, wrong / (self.met[s] + np.float32(PRIOR)))
+                step = self.met.take(s)
+                step += np.float32(PRIOR)
+                np.add.at(self.weights, s, np.divide(wrong, step, out=step))
 
 
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -393,7 +435,9 @@ def fit(train: DataFrame, lexicon, text_col: str, tokens: int, rounds: int = ROU
             words = lexicon.value
             for whole in batches:
                 for batch in text_slices(whole, 0, FIT_BYTES):
-                    own = own or Weights(bits, first.astype(np.float32), np.square(root.astype(np.float32)))
+                    if own is None:
+                        own = Weights(bits, _aligned(first), _aligned(root))
+                        np.square(own.met, out=own.met)
                     types, ids, lengths = tokens_of(batch.column(0))
                     own.learn(words, features(ids, _places(lengths), types), words.leaves(types)[ids], rng)
             for at in range(0, 1 << bits if own else 0, CHUNK):
