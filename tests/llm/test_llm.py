@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -589,6 +590,93 @@ def test_lm_weights_against_plain_sums():
         assert got[t] == pytest.approx(want, rel=1e-5)
 
 
+def token_by_token(model, lexicon, codes, leaf):
+    """Log probabilities by the nodes of 4096 tokens at once, in the order of the text."""
+    out = lexicon.constant[leaf]
+    for at in range(0, len(leaf), 4096):
+        own = slice(at, at + 4096)
+        size = lexicon.size[leaf[own]]
+        step = np.repeat(lexicon.at[leaf[own]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        z = lexicon.bias[lexicon.nodes[step]]
+        for code in codes[:, own]:
+            slot = (lexicon.nodes[step].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(code, size)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - model.bits)
+            z += model.weights[slot.view(np.int64)]
+        np.negative(z, out=z, where=lexicon.right[step])
+        out[own] -= np.add.reduceat(np.logaddexp(0, z.astype(np.float64)), np.cumsum(size) - size)
+    return out
+
+
+@pytest.fixture(scope="module")
+def large_lexicon():
+    rng = np.random.default_rng(6)
+    classes = [f"{k:02x}" for k in range(255)] + [None]
+    words = [(f"{k * 7919:x}", k % 255, 100_000 // (k + 1) + 1) for k in range(20_000)]
+    lexicon = maxent_lm.build(classes, rng.random((256, 256)), [(10, 5)] * 256, words, 256)
+    leaf = 256 + np.minimum(rng.zipf(1.2, 200_000) - 1, 19_999)
+    codes = maxent_lm.mix64(np.stack([np.minimum(rng.zipf(1.2, 200_000), 1 << most) * 4 + k for k, most in enumerate((16, 17, 10, 10))]))
+    return lexicon, codes, leaf
+
+
+def test_lm_scores_with_less_work_than_token_by_token(large_lexicon):
+    lexicon, codes, leaf = large_lexicon
+    model = maxent_lm.Weights(21, np.random.default_rng(7).normal(size=1 << 21).astype(np.float32))
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    def looked_up():
+        """Only the slots and weights of all tokens in the order of the text, without their probabilities."""
+        for at in range(0, len(leaf), 4096):
+            own = slice(at, at + 4096)
+            size = lexicon.size[leaf[own]]
+            step = np.repeat(lexicon.at[leaf[own]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            node = lexicon.nodes[step].astype(np.uint64)
+            z = lexicon.bias[lexicon.nodes[step]]
+            for code in codes[:, own]:
+                z += model.weights[model_slots(code, size, node)]
+
+    def model_slots(code, size, node):
+        mixed = node * np.uint64(0x9E3779B97F4A7C15)
+        mixed += np.repeat(code, size)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed >>= np.uint64(43)
+        return mixed.view(np.int64)
+
+    model.log_probs(lexicon, codes, leaf)
+    pairs = [(seconds(lambda: model.log_probs(lexicon, codes, leaf)), seconds(looked_up)) for _ in range(5)]
+    assert min(a for a, _ in pairs) < 0.95 * min(b for _, b in pairs)
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_lm_large_model_against_token_by_token(large_lexicon, scale):
+    """Also where a product of 1 + e^z is too large a number, and after learning."""
+    lexicon, codes, leaf = large_lexicon
+    model = maxent_lm.Weights(21, (np.random.default_rng(7).normal(size=1 << 21) * scale).astype(np.float32))
+    assert np.allclose(model.log_probs(lexicon, codes, leaf), token_by_token(model, lexicon, codes, leaf), rtol=1e-4)
+    model.learn(lexicon, codes[:, :10_000], leaf[:10_000], np.random.default_rng(0))
+    assert np.allclose(model.log_probs(lexicon, codes, leaf), token_by_token(model, lexicon, codes, leaf), rtol=1e-4)
+
+
+def test_lm_codes_and_counts_of_odd_words(spark):
+    texts = ["  ab  CD\x0b é日本 x", None, "", " ", "aé日本𝄞 𝄞 é q" + "w" * 100 + " Ä\u3000b\n", "ab"]
+    types, ids, lengths = maxent_lm.tokens_of(pa.array(texts))
+    raw = [w.encode() for w in types]
+    codes = maxent_lm.features(ids, maxent_lm._places(lengths), types)
+    place = maxent_lm._places(lengths)
+    for t, i in enumerate(place.tolist()):
+        one, two, three = ([raw[ids[t - k]]] if i >= k else [] for k in (1, 2, 3))
+        word = zlib.crc32(one[0]) if one else 1
+        tails = [zlib.crc32(x[0][-3:], 7) if x else 2 for x in (one, two, three)]
+        want = [word * 8 + 1, (tails[0] * 0x9E3779B1 + tails[1]) * 8 + 2, tails[1] * 8 + 3, tails[2] * 8 + 4]
+        assert codes[:, t].tolist() == maxent_lm.mix64(np.array([x % 2**64 for x in want], np.uint64)).tolist()
+    kinds, of, sizes = maxent_lm.endings_of(pa.array(texts))
+    assert [kinds[i] for i in of] == [types[i][-2:] for i in ids] and sizes.tolist() == lengths.tolist()
+    rows = maxent_lm.count_words(spark.createDataFrame([(x,) for x in texts], "text string"), "text").collect()
+    assert {r["word"]: r["c"] for r in rows} == collections.Counter(types[i] for i in ids)
+
+
 def test_lm_average_weighs_by_curvature():
     parts = [maxent_lm._chunk(0, np.array(w, np.float32), np.array(m, np.float32)) for w, m in (([1, 2, 5], [1, 0, 4]), ([3, 4, 1], [3, 0, 0]))]
     found = maxent_lm._average(pa.Table.from_batches(parts))

@@ -43,6 +43,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,8 @@ ROUNDS = 2
 PART_BYTES = 256 << 20
 FIT_BYTES = 2 << 20
 STEP = 4096
+#: Tokens that are scored together, and of these at a node.
+SCORED, NODE_TOKENS = 1 << 19, 1 << 14
 CHUNK = 1 << 16
 #: Share of a step's full correction that each template makes, and the curvature that every weight starts with.
 RATE, PRIOR = 0.4, 2.0
@@ -90,22 +93,79 @@ def nodes_of(tokens: int) -> int:
     return 1 << _grown(NODE_BITS, tokens, 3)
 
 
+def _split(texts: pa.Array) -> pa.ListArray:
+    """The words of each text; white space at an edge leaves an empty one."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+
+
 def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct tokens, the token numbers of all texts one after another, and the lengths."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    split = _split(texts)
     coded = split.flatten().dictionary_encode()
     types = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     codes = np.asarray(coded.indices, dtype=np.int64)
     end = types.index(END) if END in types else len(types)
     if end == len(types):
         types.append(END)
+    return types, *_ended(codes, codes != end, split, end)
+
+
+def _ended(codes: np.ndarray, word: np.ndarray, split: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """``codes`` of the parts of ``split`` that are a ``word``, with ``end`` behind each text; and the lengths."""
     offsets = np.asarray(split.offsets, dtype=np.int64)
-    word = codes != end  # white space at an edge of a text leaves an empty part
-    before = np.concatenate([[0], np.cumsum(word)])[offsets]
+    before = np.concatenate([[0], np.cumsum(word)])[offsets - offsets[0]]
     counts = np.diff(before)
     ids = np.full(int(counts.sum()) + len(counts), end, dtype=np.int64)
     ids[spans(before[:-1] + np.arange(len(counts)), counts)] = codes[word]
-    return types, ids, counts + 1
+    return ids, counts + 1
+
+
+def endings_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Like :func:`tokens_of`, of the tokens' endings."""
+    split = _split(texts)
+    coded = pc.utf8_slice_codeunits(split.flatten(), -2, None).dictionary_encode()
+    types, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+    end = types.index(END) if END in types else len(types)
+    if end == len(types):
+        types.append(END)
+    return types, *_ended(codes, codes != end, split, end)
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+#: Longer words are left to zlib one by one.
+CRC_BYTES = 32
+
+
+def _crcs(types: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """zlib's crc32 of each word's bytes, and of its last three bytes from the value 7."""
+    column = pa.array(types, pa.large_string())
+    _, ends, held = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(types) + 1]
+    raw = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(1, np.uint8)
+    first, size = ends[:-1], np.diff(ends)
+
+    def run(first: np.ndarray, size: np.ndarray, value: int) -> np.ndarray:
+        state = np.full(len(size), value ^ 0xFFFFFFFF, np.uint32)
+        on = np.arange(len(size))
+        for j in range(int(size.max(initial=0))):
+            on = on[size[on] > j]
+            own = state[on]
+            state[on] = _CRC[(own ^ raw[first[on] + j]) & np.uint32(255)] ^ (own >> np.uint32(8))
+        return ~state
+
+    short = size <= CRC_BYTES
+    word = run(first, np.where(short, size, 0), 0)
+    for k in np.flatnonzero(~short).tolist():
+        word[k] = zlib.crc32(raw[ends[k] : ends[k + 1]])
+    tail = np.minimum(size, 3)
+    return word, run(ends[1:] - tail, tail, 7)
 
 
 def _places(lengths: np.ndarray) -> np.ndarray:
@@ -122,9 +182,7 @@ def _back(ids: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
 
 def features(ids: np.ndarray, place: np.ndarray, types: list[str]) -> np.ndarray:
     """Codes of the features of every token, (TEMPLATES, tokens); ``place`` is its position in its text."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in types]
-    word = np.array([*map(zlib.crc32, raw), 1], dtype=np.uint64)
-    tail = np.array([*[zlib.crc32(w[-3:], 7) for w in raw], 2], dtype=np.uint64)
+    word, tail = (np.append(x, none).astype(np.uint64) for x, none in zip(_crcs(types), (1, 2), strict=True))
     one, two, three = (_back(ids, place, k, len(types)) for k in (1, 2, 3))
     return np.stack(
         [
@@ -156,10 +214,32 @@ class Lexicon:
     nodes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     right: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    _ways: tuple | None = None
+
+    def ways(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each leaf's path, and for each node the first path through it, the first that turns left there, and the end.
+
+        Paths are numbered down the tree, right turns first, so those through a node are neighbours.
+        """
+        if self._ways is None:
+            starts, at, path = np.unique(self.at, return_index=True, return_inverse=True)
+            size = self.size[at]
+            number, step = np.repeat(np.arange(len(starts)), size), spans(starts, size)
+            node, right = self.nodes[step], self.right[step]
+            held = np.zeros((len(self.bias), 3), np.int64)
+            held[:, 0] = len(starts)
+            np.minimum.at(held[:, 0], node, number)
+            np.maximum.at(held[:, 2], node, number + 1)
+            held[:, 1] = held[:, 0] + np.bincount(node[right], minlength=len(held))
+            self._ways = path.astype(np.min_scalar_type(len(starts))), held
+        return self._ways
 
     def leaves(self, types: list[str]) -> np.ndarray:
-        words, endings, other = self.words.get, self.endings.get, self.other
-        return np.array([endings(w[-2:], other) if (k := words(w)) is None else k for w in types], dtype=np.int64)
+        endings, other = self.endings.get, self.other
+        out = np.fromiter(map(self.words.get, types, repeat(-1)), dtype=np.int64, count=len(types))
+        missing = np.flatnonzero(out < 0)
+        out[missing] = [endings(types[k][-2:], other) for k in missing.tolist()]
+        return out
 
 
 def _halves(vectors: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -272,57 +352,98 @@ class Weights:
         self.bits = bits
         self.weights = np.zeros(1 << bits, np.float32) if weights is None else weights
         self.met = np.zeros(1 << bits, np.float32) if met is None else met
+        self._both: np.ndarray | None = None
 
-    def slots(self, codes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        mixed = nodes * _NODE
-        mixed += codes
-        mixed *= _SLOT
-        mixed >>= np.uint64(64 - self.bits)
-        return mixed.view(np.int64)
-
-    def _paths(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray):
-        size = lexicon.size[leaf]
-        step = spans(lexicon.at[leaf], size)
-        node = lexicon.nodes[step]
-        wide = node.astype(np.uint64)
-        slots = [self.slots(np.repeat(own, size), wide) for own in codes]
-        z = lexicon.bias[node]
-        for own in slots:
-            z += self.weights[own]
-        return size, slots, z, lexicon.right[step]
+    def _side_by_side(self) -> np.ndarray:
+        """A weight and its curvature next to each other, as a step needs both; ``weights`` and ``met`` are views of it from here on."""
+        if self._both is None:
+            self._both = np.empty(2 << self.bits, np.float32)
+            self._both[0::2], self._both[1::2] = self.weights, self.met
+            self.weights, self.met = self._both[0::2], self._both[1::2]
+        return self._both
 
     def log_probs(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's leaf (of the token itself, if no others are in the leaf)."""
         out = lexicon.constant[leaf]
-        for at in range(0, len(leaf), STEP):
-            own = slice(at, at + STEP)
-            size, _, z, right = self._paths(lexicon, codes[:, own], leaf[own])
-            if not len(z):
-                continue
-            np.negative(z, out=z, where=right)
-            # log(1 + e^z) summed along a path is the logarithm of a product, unless that is too large a number.
-            total = np.zeros(len(size))
-            on = np.flatnonzero(size)
-            first = (np.cumsum(size) - size)[on]
-            with np.errstate(over="ignore"):
-                total[on] = np.log(np.multiply.reduceat(1 + np.exp(z).astype(np.float64), first))
-            if not np.isfinite(total).all():
-                total[on] = np.add.reduceat(np.logaddexp(0, z.astype(np.float64)), first)
-            out[own] -= total
+        weights = np.ascontiguousarray(self.weights)
+        for at in range(0, len(leaf) if len(lexicon.nodes) else 0, SCORED):
+            own = slice(at, at + SCORED)
+            out[own] -= self._logs(weights, lexicon, codes[:, own], leaf[own])
+        return out
+
+    def _logs(self, weights: np.ndarray, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """The sum of log(1 + e^z) along each token's path, node by node: tokens in order of their paths are neighbours at each node."""
+        paths, held = lexicon.ways()
+        path = paths[leaf]
+        order = np.argsort(path, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(path, minlength=int(held.max(initial=0))))])
+        mixed = codes.take(order, axis=1)
+        mixed *= _SLOT
+        key = np.arange(len(held), dtype=np.uint64) * _NODE * _SLOT
+        shift = np.uint64(64 - self.bits)
+
+        def each_node() -> Iterator[tuple[slice, np.ndarray]]:
+            for n, (first, left, last) in enumerate(ends[held].tolist()):
+                for at in range(first, last, NODE_TOKENS):
+                    own = slice(at, min(at + NODE_TOKENS, last))
+                    slots = mixed[:, own] + key[n]
+                    slots >>= shift
+                    z = np.full(slots.shape[1], lexicon.bias[n])
+                    for s in slots.view(np.int64):
+                        z += weights.take(s, mode="clip")
+                    if at < left:
+                        np.negative(z[: left - at], out=z[: left - at])
+                    yield own, z
+
+        # log(1 + e^z) summed along a path is the logarithm of a product, unless that is too large a number.
+        total = np.ones(len(leaf))
+        with np.errstate(over="ignore"):
+            for own, z in each_node():
+                np.exp(z, out=z)
+                z += 1
+                total[own] *= z
+        if np.isfinite(total).all():
+            np.log(total, out=total)
+        else:
+            total[:] = 0
+            for own, z in each_node():
+                total[own] += np.logaddexp(0, z.astype(np.float64))
+        out = np.empty(len(leaf))
+        out[order] = total
         return out
 
     def learn(self, lexicon: Lexicon, codes: np.ndarray, leaf: np.ndarray, rng: np.random.Generator) -> None:
         """Gradient steps over all tokens, in random order of steps."""
+        weights = self._side_by_side()
+        met = weights[1:]
+        # Places of weights are even: a slot is twice the highest bits of the hash.
+        shift, even = np.uint64(63 - self.bits), ~np.uint64(1)
+        key = lexicon.nodes.astype(np.uint64) * _NODE * _SLOT
+        bias = lexicon.bias[lexicon.nodes]
         for at in rng.permutation(np.arange(0, len(leaf), STEP)).tolist():
             own = slice(at, at + STEP)
-            _, slots, z, right = self._paths(lexicon, codes[:, own], leaf[own])
+            size = lexicon.size[leaf[own]]
+            step = spans(lexicon.at[leaf[own]], size)
+            if not len(step):
+                continue
+            hashed = key.take(step, mode="clip")
+            z = bias.take(step, mode="clip")
+            slots = []
+            for code in codes[:, own] * _SLOT:
+                s = np.repeat(code, size)
+                s += hashed
+                s >>= shift
+                s &= even
+                slots.append(s.view(np.int64))
+                z += weights.take(slots[-1], mode="clip")
             p = 1 / (1 + np.exp(-z))
             curved = p * (1 - p)
-            wrong = (right - p) * np.float32(RATE)
-            for s in slots:
-                np.add.at(self.met, s, curved)
+            wrong = (lexicon.right.take(step, mode="clip") - p) * np.float32(RATE)
             for s in slots:
-                np.add.at(self.weights, s, wrong / (self.met[s] + np.float32(PRIOR)))
+                np.add.at(met, s, curved)
+                by = met.take(s, mode="clip")
+                by += np.float32(PRIOR)
+                np.add.at(weights, s, np.divide(wrong, by, out=by))
 
 
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -330,12 +451,12 @@ def count_words(texts: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 0, 16 << 20):
-                types, ids, _ = tokens_of(batch.column(0))
-                counts = np.bincount(ids, minlength=len(types))
-                held = counts > 0
-                words = pa.array(types, pa.string()).filter(pa.array(held))
-                yield pa.RecordBatch.from_arrays([words, pa.array(counts[held], pa.int64())], names=["word", "c"])
+            for batch in text_slices(whole, 0, 32 << 20):
+                counts = pc.value_counts(_split(batch.column(0)).flatten())
+                words, c = counts.field("values"), counts.field("counts")
+                word = pc.not_equal(words, END)  # each text has one end, and any number of empty parts
+                words, c = words.filter(word).cast(pa.string()), c.filter(word)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.string())]), pa.concat_arrays([c, pa.array([batch.num_rows], pa.int64())])], names=["word", "c"])
 
     return texts.select(text_col).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -349,8 +470,8 @@ def count_neighbours(texts: DataFrame, text_col: str, classes: list[str | None])
         total = np.zeros(size * size, np.int64)
         for whole in batches:
             for batch in text_slices(whole, 0, 4 << 20):
-                types, ids, lengths = tokens_of(batch.column(0))
-                kind = np.array([index.get(w[-2:], other) for w in types])[ids]
+                types, ids, lengths = endings_of(batch.column(0))
+                kind = np.array([index.get(e, other) for e in types])[ids]
                 place = _places(lengths)
                 for k in (1, 2):
                     on = np.flatnonzero(place >= k)
@@ -448,19 +569,17 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def learn_tree(counts: DataFrame, train: DataFrame, text_col: str, total: int) -> Lexicon:
-    """Classes, leaves and paths, from the counts of all words."""
+def learn_tree(counts: DataFrame, train: DataFrame, text_col: str, total: int, distinct: int, ends: int) -> Lexicon:
+    """Classes, leaves and paths, from the counts of all words: ``total`` tokens, ``distinct`` ones, and ``ends`` end tokens."""
     words = frequent(counts.filter(F.col("word") != END), leaves_of(total))
     ending = F.expr("substring(word, -2, 2)")
     by_ending = counts.groupBy(ending.alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     top = by_ending.orderBy(F.col("n").desc(), "e").limit(CLASSES).collect()
-    whole = by_ending.agg(F.sum("n"), F.sum("v")).first()
     classes: list[str | None] = [r["e"] for r in top] + [None]
-    mass = [int(r["n"]) for r in top] + [int(whole[0] or 0) - sum(int(r["n"]) for r in top)]
-    size = [int(r["v"]) for r in top] + [int(whole[1] or 0) - sum(int(r["v"]) for r in top)]
+    mass = [int(r["n"]) for r in top] + [total - sum(int(r["n"]) for r in top)]
+    size = [int(r["v"]) for r in top] + [distinct - sum(int(r["v"]) for r in top)]
     index = {e: k for k, e in enumerate(classes) if e is not None}
-    ends = counts.filter(F.col("word") == END).first()
-    leaves = [*([(END, int(ends["c"]))] if ends else []), *words]
+    leaves = [*([(END, ends)] if ends else []), *words]
     placed = []
     for word, c in leaves:
         k = index.get(ending_of(word), len(index))
@@ -475,9 +594,9 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     """id, n_tokens, n_known, train_tokens, base_score and score (both log10) of every document."""
     spark = docs.sparkSession
     counts = cut(count_words(train, text_col))
-    seen = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, distinct = int(seen[0] or 0), int(seen[1])
-    lexicon = spark.sparkContext.broadcast(learn_tree(counts, train, text_col, total))
+    seen = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
+    total, distinct, ends = (int(x or 0) for x in seen)
+    lexicon = spark.sparkContext.broadcast(learn_tree(counts, train, text_col, total, distinct, ends))
     model = fit(train, lexicon, text_col, total)
     sent = spark.sparkContext.broadcast((model.bits, model.weights))
     norm = math.log10(total + SMOOTH * (distinct + 1))
